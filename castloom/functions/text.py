@@ -133,8 +133,8 @@ def fmt_size(size_bytes: Column) -> Column:
     kb, mb = 1024, 1024 * 1024
     return (
         F.when(size_bytes < kb, F.concat(size_bytes.cast("string"), F.lit(" B")))
-        .when(size_bytes < mb, F.format_string("%.1f KB", size_bytes / F.lit(float(kb))))
-        .otherwise(F.format_string("%.1f MB", size_bytes / F.lit(float(mb))))
+        .when(size_bytes < mb, F.format_string("%.1f KB", F.bround(size_bytes / F.lit(float(kb)), 1)))
+        .otherwise(F.format_string("%.1f MB", F.bround(size_bytes / F.lit(float(mb)), 1)))
     )
 
 
@@ -178,9 +178,7 @@ def truncate_url(url: Column, max_length: int = 50) -> Column:
     host, rest = netloc(url), path(url)
     plain = F.concat(host, rest)
     half = (max_length - 3) // 2
-    middle = F.concat(
-        F.substring(host, 1, half), F.lit("..."), F.expr("''") if half == 0 else F.right(host, F.lit(half))
-    )
+    middle = F.concat(F.substring(host, 1, half), F.lit("..."), F.right(host, F.lit(half)))
     last = F.regexp_extract(rest, r"([^/]*)$", 1)
     remaining = F.lit(max_length - 3) - F.length(host)
     return (
@@ -236,7 +234,7 @@ def metadata_title(title: Column, url: Column) -> Column:
 
 
 def megabytes(size_bytes: Column) -> Column:
-    return F.round(size_bytes / F.lit(1024.0 * 1024.0), 2)
+    return F.bround(size_bytes / F.lit(1024.0 * 1024.0), 2)
 
 
 def content_key(**parts: Column) -> Column:
