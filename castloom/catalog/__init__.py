@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-_FAMILIES = ("costs", "functions")
+_FAMILIES = ("costs", "functions", "transcripts")
 
 QUERIES: dict = {}
 ORACLES: dict = {}
