@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-_FAMILIES = ("costs", "functions", "transcripts", "feeds", "plans", "results", "library")
+_FAMILIES = ("costs", "functions", "transcripts", "feeds", "plans", "results", "library", "files")
 
 QUERIES: dict = {}
 ORACLES: dict = {}

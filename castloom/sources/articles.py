@@ -1,0 +1,80 @@
+"""Readable text of web pages."""
+
+from __future__ import annotations
+
+from collections.abc import Iterator
+from html.parser import HTMLParser
+
+import pandas as pd
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from castloom.functions.text import normalize_text
+
+#: Fixed value: shortest text that counts as an article.
+MIN_CHARACTERS = 80
+_SKIPPED = {"script", "style", "nav", "header", "footer", "aside", "noscript", "template"}
+_BREAKING = {
+    "address", "article", "blockquote", "br", "dd", "div", "dl", "dt", "figure", "h1", "h2", "h3",
+    "h4", "h5", "h6", "hr", "li", "main", "ol", "p", "pre", "section", "table", "td", "th", "tr", "ul",
+}
+
+
+class _Reader(HTMLParser):
+    def __init__(self) -> None:
+        super().__init__(convert_charrefs=True)
+        self.parts: list[str] = []
+        self.skipping = 0
+
+    def handle_starttag(self, tag, attrs):
+        if tag in _SKIPPED:
+            self.skipping += 1
+        elif tag in _BREAKING:
+            self.parts.append("\n")
+
+    def handle_endtag(self, tag):
+        if tag in _SKIPPED:
+            self.skipping = max(0, self.skipping - 1)
+        elif tag in _BREAKING:
+            self.parts.append("\n")
+
+    def handle_data(self, data):
+        if not self.skipping:
+            self.parts.append(" ".join(data.split("\n")))
+
+
+def _body_text(html: str | None) -> str:
+    reader = _Reader()
+    start = (html or "").lower().find("<body")
+    reader.feed((html or "")[max(start, 0):])
+    reader.close()
+    return "".join(reader.parts)
+
+
+def read_articles(
+    pages: DataFrame, min_characters: int = MIN_CHARACTERS
+) -> tuple[DataFrame, DataFrame]:
+    """Text of each page (page_id, url, html), and the pages with too little of it.
+
+    Menus, scripts and the like are skipped and block elements break lines. Pages are
+    independent rows, read in Arrow batches.
+    """
+
+    def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            yield pd.DataFrame(
+                {
+                    "page_id": batch["page_id"],
+                    "url": batch["url"],
+                    "text": batch["html"].map(_body_text),
+                }
+            )
+
+    raw = pages.select("page_id", "url", "html").mapInPandas(
+        read, "page_id bigint, url string, text string"
+    )
+    text = raw.withColumn("text", normalize_text(F.col("text")))
+    enough = F.length("text") >= min_characters
+    return text.where(enough), text.where(~enough).select(
+        "page_id", "url", F.lit("too little readable text").alias("reason")
+    )

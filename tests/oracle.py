@@ -95,7 +95,7 @@ def main() -> int:
                 state = f"rows {n}"
         except Exception as error:  # report and go on with the next query
             problem = state = f"ERROR {str(error).splitlines()[0][:400]}"
-            if wanted:
+            if os.environ.get("VERBOSE"):
                 traceback.print_exc()
         bad += problem is not None
         print(f"{name:32s} {time.time() - start:6.2f}s {state}", flush=True)
