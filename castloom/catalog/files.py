@@ -232,7 +232,7 @@ def stream_jobs(spark, folder):
         F.lit("running").alias("status"), kind.alias("stage"),
     )
     rows = streams.run_to_table(streams.stream_jobs(progress), "update")
-    last = streams.last_emitted(rows, "job_id")
+    last = streams.last_emitted(streams.changed_jobs(rows), "job_id")
     return last.select("job_id", "status", "stage")
 
 

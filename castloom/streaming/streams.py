@@ -3,13 +3,11 @@
 from __future__ import annotations
 
 import uuid
-from collections.abc import Iterator
 
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from castloom.operators.ordered import neighbour
 from castloom.operators.rows import keep_last
 from castloom.session import shared_dir
 
@@ -44,46 +42,31 @@ def stream_costs(
     )
 
 
-def stream_jobs(progress: DataFrame, ttl_ms: int = 86_400_000) -> DataFrame:
-    """Latest status and stage of each job; a job that did not change says nothing.
+def stream_jobs(progress: DataFrame) -> DataFrame:
+    """Latest status and stage of each job that had updates in a micro-batch.
 
-    ``progress`` has (job_id, ts, seq, status, stage). Rows of a job may arrive in any
-    order: only the latest seen is kept, so the state is one row per job however many
-    updates it gets. A final status ends the state, and so does silence for ``ttl_ms``.
+    ``progress`` has (job_id, ts, seq, status, stage); rows of a job may arrive in any
+    order. A built-in aggregate, so updates of a busy job are reduced before the shuffle
+    and its state is one row. Run in update mode; ``changed_jobs`` drops repeats.
     """
-
-    def latest(
-        key: tuple, frames: Iterator[pd.DataFrame], state: GroupState
-    ) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            state.remove()
-            return
-        before = state.get if state.exists else None
-        best = before
-        for frame in frames:
-            at = frame["ts"].astype("int64") // 1000
-            row = frame.assign(at=at).sort_values(["at", "seq"]).iloc[-1]
-            found = (int(row["at"]), int(row["seq"]), row["status"], row["stage"])
-            if best is None or found[:2] > tuple(best[:2]):
-                best = found
-        if before is None or tuple(best[2:]) != tuple(before[2:]):
-            yield pd.DataFrame({"job_id": [key[0]], "seq": [best[1]], "status": [best[2]], "stage": [best[3]]})
-        if best[2] in FINAL:
-            state.remove()
-        else:
-            state.update(tuple(best))
-            state.setTimeoutDuration(ttl_ms)
-
-    rows = progress.select("job_id", F.col("ts").cast("timestamp_ntz").alias("ts"), "seq", "status", "stage")
-    return rows.groupBy("job_id").applyInPandasWithState(
-        latest,
-        outputStructType="job_id bigint, seq bigint, status string, stage string",
-        stateStructType="at bigint, seq bigint, status string, stage string",
-        outputMode="update",
-        timeoutConf=GroupStateTimeout.ProcessingTimeTimeout,
+    latest = F.max_by(F.struct("status", "stage", "seq"), F.struct("ts", "seq"))
+    return progress.groupBy("job_id").agg(latest.alias("s")).select(
+        "job_id", "s.seq", "s.status", "s.stage"
     )
 
 
+def changed_jobs(emitted: DataFrame) -> DataFrame:
+    """Emitted job rows without those that repeat the job's previous status and stage.
+
+    Rows after a final status are left out.
+    """
+    known = emitted.withColumn("_told", F.concat_ws("/", "status", "stage"))
+    near = neighbour(known, ["job_id"], ["batch"], "_told", "_before", following=False)
+    over = emitted.where(F.col("status").isin(*FINAL)).groupBy("job_id").agg(F.min("batch").alias("_end"))
+    kept = near.where(~F.col("_told").eqNullSafe(F.col("_before"))).join(over, "job_id", "left")
+    return kept.where("_end IS NULL OR batch <= _end").drop("_told", "_before", "_end")
+
+
 def run_to_table(stream: DataFrame, mode: str = "append") -> DataFrame:
     """Run a stream over what its source holds now and return the rows it emitted.
 
