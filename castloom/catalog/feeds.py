@@ -200,7 +200,7 @@ def _stored(spark, folder):
 
 def resolve_feed(spark, folder):
     k = F.col("c_custkey")
-    shown = k % 10 * 4 + 1 + k % 3
+    shown = k % 6 + 1 + F.floor(k % 6 / 3)
     name = (
         F.when(k % 5 == 0, F.concat(F.lit("supplier-"), F.lpad((k % 130).cast("string"), 9, "0")))
         .when(k % 5 == 1, F.concat(F.lit("Supplier "), F.lpad((k % 130).cast("string"), 9, "0")))
@@ -466,7 +466,7 @@ LEFT JOIN stored own ON c.c_custkey % 5 < 2
 LEFT JOIN (SELECT display_name, arg_max(feed, k) AS feed FROM stored
            WHERE display_name IS NOT NULL GROUP BY display_name) shown
   ON c.c_custkey % 5 IN (2, 3) AND shown.display_name =
-     'The Grand Show ' || (c.c_custkey % 10 * 4 + 1 + c.c_custkey % 3)""",
+     'The Grand Show ' || (c.c_custkey % 6 + 1 + c.c_custkey % 6 // 3)""",
         stored=_KEYS,
     ),
     "same_channel": oracle(
