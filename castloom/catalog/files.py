@@ -167,18 +167,6 @@ def write_notes(spark, folder):
     )
 
 
-def read_notes(spark, folder):
-    """Notes written out as markdown files in podcast and episode folders, and read back."""
-    docs = table(spark, folder, "conversations").where("turn = 0")
-    content = F.concat(F.lit("---\ntemplate_version: '"), F.col("conv_id") % 3, F.lit("'\n---\n\n"), "text")
-    path = _scratch(spark, "library")
-    docs.select(
-        (F.col("conv_id") % 5).alias("p"), (F.col("conv_id") % 40).alias("e"), content.alias("value")
-    ).write.partitionBy("p", "e").text(path)
-    read = spark.read.option("recursiveFileLookup", "true").text(path, wholetext=True)
-    return read.agg(F.sum(F.length("value")).alias("characters"))
-
-
 def load_meta(spark, folder):
     rows = table(spark, folder, "documents").select(
         "doc_id", F.when(F.col("doc_id") % 4 != 3, (F.col("doc_id") % 4).cast("int")).alias("schema_version")

@@ -113,13 +113,18 @@ def read_feeds(spark: SparkSession, paths: str | list[str]) -> DataFrame:
 
 
 def read_cut_feeds(spark: SparkSession, paths: str | list[str]) -> DataFrame:
-    """Entries of RSS documents that end early and give no row in ``read_feeds``.
+    """Entries of RSS documents that end early and give no entry in ``read_feeds``.
 
-    Only whole items are kept. Their order is that of the file as long as it is read in
+    Such a document, and its last item, read as rows of nulls. Only whole items are kept. Their order is that of the file as long as it is read in
     one piece, so the position is a row's place within its block.
     """
-    whole = _read(spark, paths, "channel", "title string").select("file").distinct()
-    items = _read(spark, paths, "item", _ITEM).withColumn("at", F.monotonically_increasing_id())
+    read = _read(spark, paths, "channel", "title string, item array<struct<title string>>")
+    whole = read.where("title IS NOT NULL OR item IS NOT NULL").select("file").distinct()
+    items = (
+        _read(spark, paths, "item", _ITEM)
+        .where("coalesce(title, link, guid, pubDate, description) IS NOT NULL OR enclosure IS NOT NULL")
+        .withColumn("at", F.monotonically_increasing_id())
+    )
     cut = items.join(whole, "file", "left_anti")
     packed = cut.select("file", "at", F.struct(*[f"`{c}`" for c in items.columns if c not in ("file", "at")]).alias("i"))
     return packed.select(
@@ -132,6 +137,6 @@ def empty_feeds(spark: SparkSession, paths: str | list[str]) -> DataFrame:
     rss = _read(spark, paths, "channel", "title string, item array<struct<title string>>")
     atom = _read(spark, paths, "feed", "title string, entry array<struct<title string>>")
     reason = F.lit("no entries").alias("reason")
-    return rss.where("item IS NULL").select("file", reason).unionByName(
-        atom.where("entry IS NULL").select("file", reason)
+    return rss.where("item IS NULL AND title IS NOT NULL").select("file", reason).unionByName(
+        atom.where("entry IS NULL AND title IS NOT NULL").select("file", reason)
     )
