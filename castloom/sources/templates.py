@@ -7,9 +7,6 @@ from pathlib import Path
 
 import yaml
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
-
-from castloom.operators.rows import keep_first
 
 BUILTIN = Path(__file__).resolve().parent.parent / "plans" / "builtin"
 
@@ -17,7 +14,7 @@ SCHEMA = (
     "name string, version string, description string, system_prompt string, "
     "user_prompt string, expected_format string, output_schema string, required_fields int, "
     "category string, applies_to array<string>, priority int, model_preference string, "
-    "max_tokens int, temperature double, examples string, dir_rank int"
+    "max_tokens int, temperature double, examples string"
 )
 
 
@@ -35,7 +32,7 @@ def examples_text(examples: list[dict]) -> str:
     return text
 
 
-def _row(file: Path, rank: int) -> tuple:
+def _row(file: Path) -> tuple:
     data = yaml.safe_load(file.read_text(encoding="utf-8"))
     schema = data.get("output_schema")
     return (
@@ -54,7 +51,6 @@ def _row(file: Path, rank: int) -> tuple:
         int(data.get("max_tokens", 2000)),
         float(data.get("temperature", 0.3)),
         examples_text(data.get("few_shot_examples") or []),
-        rank,
     )
 
 
@@ -63,11 +59,10 @@ def read_templates(spark: SparkSession, *folders: str | Path) -> DataFrame:
 
     The built-in folder always comes last.
     """
-    rows = [
-        _row(file, rank)
-        for rank, folder in enumerate([*folders, BUILTIN])
-        for file in sorted(Path(folder).rglob("*.yaml"))
-        if file.name != "schema.yaml"
-    ]
-    read = spark.createDataFrame(rows, SCHEMA)
-    return keep_first(read, ["name"], ["dir_rank"]).drop("dir_rank")
+    found: dict[str, tuple] = {}
+    for folder in (*folders, BUILTIN):
+        for file in sorted(Path(folder).rglob("*.yaml")):
+            if file.name != "schema.yaml":
+                row = _row(file)
+                found.setdefault(row[0], row)
+    return spark.createDataFrame(list(found.values()), SCHEMA)
