@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from castloom.llm import simhash
+from castloom.llm import mixing, quality, simhash
 from castloom.llm.base import table
 from castloom.session import tune
 
@@ -13,7 +13,20 @@ def op1_near_duplicates(spark: SparkSession, folder: str) -> DataFrame:
     return simhash.near_duplicates(table(tune(spark), folder, "documents"))
 
 
+def op2_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
+    return quality.judge(table(tune(spark), folder, "documents"))
+
+
+def op3_mix_sources(spark: SparkSession, folder: str) -> DataFrame:
+    return mixing.mix(table(tune(spark), folder, "documents"))
+
+
 QUERIES = {
     "op1_near_duplicates": op1_near_duplicates,
+    "op2_quality_rules": op2_quality_rules,
+    "op3_mix_sources": op3_mix_sources,
+}
+ORACLES: dict[str, str] = {
+    "op2_quality_rules": quality.JUDGE_SQL,
+    "op3_mix_sources": mixing.MIX_SQL,
 }
-ORACLES: dict[str, str] = {}
