@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from castloom.llm import mixing, quality, simhash
+from castloom.llm import chunks, mixing, quality, simhash, suffixes, url_cascade, vptree
 from castloom.llm.base import table
 from castloom.session import tune
 
@@ -21,12 +22,35 @@ def op3_mix_sources(spark: SparkSession, folder: str) -> DataFrame:
     return mixing.mix(table(tune(spark), folder, "documents"))
 
 
+def op4_nearest_vectors(spark: SparkSession, folder: str) -> DataFrame:
+    vectors = table(tune(spark), folder, "embeddings")
+    return vptree.search(vectors, F.col("vec_id") % 20 == 0)
+
+
+def op7_url_filters(spark: SparkSession, folder: str) -> DataFrame:
+    return url_cascade.judge(table(tune(spark), folder, "pages"))
+
+
+def op8_substring_chunks(spark: SparkSession, folder: str) -> DataFrame:
+    return chunks.dedupe(table(tune(spark), folder, "documents")).drop("kept_text")
+
+
+def op9_suffix_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    return suffixes.remove_repeats(table(tune(spark), folder, "documents")).drop("kept")
+
+
 QUERIES = {
     "op1_near_duplicates": op1_near_duplicates,
     "op2_quality_rules": op2_quality_rules,
     "op3_mix_sources": op3_mix_sources,
+    "op4_nearest_vectors": op4_nearest_vectors,
+    "op7_url_filters": op7_url_filters,
+    "op8_substring_chunks": op8_substring_chunks,
+    "op9_suffix_dedup": op9_suffix_dedup,
 }
 ORACLES: dict[str, str] = {
     "op2_quality_rules": quality.JUDGE_SQL,
     "op3_mix_sources": mixing.MIX_SQL,
+    "op4_nearest_vectors": vptree.SEARCH_SQL,
+    "op7_url_filters": url_cascade.JUDGE_SQL,
 }

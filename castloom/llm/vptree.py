@@ -150,6 +150,14 @@ def _matrix(vectors) -> np.ndarray:
     return flat.reshape(len(vectors), -1)
 
 
+def _products(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Inner products, summed from the first component on: equal rows give equal numbers."""
+    total = np.zeros(len(a))
+    for i in range(a.shape[1]):
+        total += a[:, i] * b[:, i]
+    return total
+
+
 def _lifted(points: np.ndarray, longest: float) -> np.ndarray:
     """One more coordinate gives all points the same length: nearest then means largest product."""
     rest = np.maximum(longest**2 - (points**2).sum(axis=1), 0)
@@ -202,7 +210,7 @@ def _visit(points: DataFrame, asking: DataFrame, k: int, longest: float, factor:
             {
                 "query": asked["query"].to_numpy()[query],
                 "rep": shard["rep"].to_numpy()[row],
-                "score": (plain[row] * wanted[query]).sum(axis=1),
+                "score": _products(plain[row], wanted[query]),
                 "away": found.away[query, place],
             }
         )
@@ -378,7 +386,23 @@ def brute_force(rows: list[tuple[int, list[float]]], k: int, asks) -> dict[int,
     out = {}
     for i, q in zip(ids, points, strict=True):
         if asks(int(i)):
-            score = (points * q).sum(axis=1)
+            score = _products(points, np.broadcast_to(q, points.shape))
             order = [j for j in np.lexsort((ids, -score)) if ids[j] != i]
             out[int(i)] = [int(ids[j]) for j in order[:k]]
     return out
+
+
+#: Twin of exact search with the queries of op4, for DuckDB.
+SEARCH_SQL = """
+WITH points AS (
+    SELECT vec_id, embedding::DOUBLE[] AS v FROM embeddings
+    WHERE len(list_filter(embedding, x -> x IS NULL OR NOT isfinite(x))) = 0
+        AND len(list_filter(embedding, x -> x <> 0)) > 0
+), scored AS (
+    SELECT q.vec_id AS query_id, p.vec_id, list_inner_product(q.v, p.v) AS score
+    FROM points q JOIN points p ON p.vec_id <> q.vec_id WHERE q.vec_id % 20 = 0
+)
+SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM (
+    SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM scored
+) WHERE rank <= 20
+"""
