@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -88,7 +89,7 @@ def chunk_digests(raw: bytes) -> tuple[list[int], list[bytes]]:
     return ends, digests
 
 
-def removed_spans(ends: list[int], repeated: list[bool], least: int = LEAST_RUN) -> list[tuple[int, int]]:
+def long_runs(ends: list[int], repeated: list[bool], least: int = LEAST_RUN) -> list[tuple[int, int]]:
     """Runs of repeated chunks that hold at least `least` bytes."""
     spans, start, open_at = [], 0, None
     for end, again in zip([*ends, None], [*repeated, False], strict=True):
@@ -151,10 +152,10 @@ def _elsewhere(rows: DataFrame) -> DataFrame:
 def dedupe(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """One row per document: doc_id, text without the repeats, and what was found.
 
-    n_bytes, n_chunks, n_dup_chunks (chunks that occur in another document, or earlier in this
-    one), n_removed (bytes), n_spans, kept_text, kept_sha256. A chunk stays in the document
-    with the smallest id, at its first place; null ids come last, and documents that share the
-    smallest id all keep it. Elsewhere it goes, if it stands in a run of repeated chunks of at
+    n_bytes, n_chunks, n_dup_chunks (chunks that occur elsewhere as well, in runs of at least
+    LEAST_RUN bytes), n_removed (bytes), n_spans, kept_text, kept_sha256. A chunk stays in the
+    document with the smallest id, at its first place; null ids come last, and documents that
+    share the smallest id all keep it. Elsewhere it goes, if the run of chunks that go holds at
     least LEAST_RUN bytes. Rows equal in id and text count as one document and get the same
     result. Null texts count as empty; texts are cut between characters. An empty table gives
     an empty result. Other columns are not used.
@@ -182,13 +183,14 @@ def dedupe(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataF
                     known = {
                         np.array([x["a"], x["b"]], "<i8").tobytes(): x["kept"] for x in s.as_py() or ()
                     }
-                    seen, repeated, shared = set(), [], 0
+                    places = Counter(digests)
+                    seen, repeated, shared = set(), [], []
                     for d in digests:
-                        again = d in seen
-                        shared += again or d in known
-                        repeated.append(again or not known.get(d, True))
+                        shared.append(d in known or places[d] > 1)
+                        repeated.append(d in seen or not known.get(d, True))
                         seen.add(d)
-                    spans = removed_spans(ends, repeated)
+                    spans = long_runs(ends, repeated)
+                    common = [a < e <= b for a, b in long_runs(ends, shared) for e in ends]
                     pieces, at = [], 0
                     for a, b in spans:
                         pieces.append(raw[at:a])
@@ -196,7 +198,7 @@ def dedupe(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataF
                     pieces.append(raw[at:])
                     kept.append(b"".join(pieces))
                     gone = sum(b - a for a, b in spans)
-                    numbers.append((len(raw), len(ends), shared, gone, len(spans)))
+                    numbers.append((len(raw), len(ends), sum(common), gone, len(spans)))
                 columns = np.array(numbers, np.int64).reshape(-1, len(names)).T
                 yield pa.RecordBatch.from_arrays(
                     [

@@ -52,7 +52,7 @@ def grow(points: np.ndarray, least: int, rows: np.ndarray | None = None) -> Node
     away = _distances(own, vantage)
     radius = float(np.median(away))
     near = away < radius
-    if not near.any():
+    if near.sum() * 16 < len(rows):  # nearly all equally far: another level would not help
         return Node(rows=rows)
     return Node(
         vantage, radius, grow(points, least, rows[near]), grow(points, least, rows[~near])
@@ -396,8 +396,8 @@ def brute_force(rows: list[tuple[int, list[float]]], k: int, asks) -> dict[int,
 SEARCH_SQL = """
 WITH points AS (
     SELECT vec_id, embedding::DOUBLE[] AS v FROM embeddings
-    WHERE len(list_filter(embedding, x -> x IS NULL OR NOT isfinite(x))) = 0
-        AND len(list_filter(embedding, x -> x <> 0)) > 0
+    WHERE len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+        AND len(list_filter(embedding, lambda x: x <> 0)) > 0
 ), scored AS (
     SELECT q.vec_id AS query_id, p.vec_id, list_inner_product(q.v, p.v) AS score
     FROM points q JOIN points p ON p.vec_id <> q.vec_id WHERE q.vec_id % 20 = 0
