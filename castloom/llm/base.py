@@ -10,26 +10,36 @@ import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from castloom.session import shared_dir
+from castloom.session import shared_dir, tune
 
 #: One word, for Spark's and Python's regular expressions alike.
 WORD = r"[^\x20\x09-\x0D]+"
 #: The characters between words.
 BLANKS = "\t\n\x0b\x0c\r "
 
+#: Rows that Spark hands to Python at a time: texts are long.
+BATCH_ROWS = 1000
+
 _parked: list[str] = []
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
+    """A table of a folder, in a session set up for the operators."""
+    tune(spark).conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new folder that all executors share; `sweep` deletes it."""
+    _parked.append(f"{shared_dir(spark)}/llm-{name}-{uuid.uuid4().hex}")
+    return _parked[-1]
+
+
 def parked(df: DataFrame, name: str) -> DataFrame:
     """Write to the shared folder and read again: cuts lineage, survives lost executors."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/llm-{name}-{uuid.uuid4().hex}"
+    path = scratch(spark, name)
     df.write.parquet(path)
-    _parked.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -16,10 +16,15 @@ from castloom.llm.base import parked, pick
 RANGE_ROWS = 2000
 
 
-def word_count(text: Column) -> Column:
-    """Number of `[^\\x20\\x09-\\x0D]+` in a text; 0 for null."""
+def words_of(text: Column) -> Column:
+    """The words `[^\\x20\\x09-\\x0D]+` of a text."""
     plain = F.translate(text, "\t\n\x0b\x0c\r", "     ")
-    return F.coalesce(F.size(F.array_remove(F.split(plain, " "), "")), F.lit(0)).cast("long")
+    return F.array_remove(F.split(plain, " "), "")
+
+
+def word_count(text: Column) -> Column:
+    """Number of words of a text; 0 for null."""
+    return F.when(text.isNull(), 0).otherwise(F.size(words_of(text))).cast("long")
 
 
 def _weights(rank: Column, weights: Sequence[float]) -> Column:

@@ -43,16 +43,32 @@ def buckets(codes: np.ndarray, gram: int) -> np.ndarray:
     return (h ^ (h >> np.uint64(32))) * _STEPS[0]
 
 
-def _lowest(h: np.ndarray, width: int) -> np.ndarray:
-    """The place of the smallest of `width` values from each place on, the first of equals."""
-    at, done = np.arange(len(h), dtype=np.int64), 1
-    while done < width:
-        step = min(done, width - done)
-        n = len(h) - step
-        take = h[step:] < h[:n]
-        h, at = np.where(take, h[step:], h[:n]), np.where(take, at[step:], at[:n])
-        done += step
-    return at
+def _runs(h: np.ndarray, width: int) -> tuple[np.ndarray, ...]:
+    """(place, first, last): the place of the lowest of `width` values, the first of equals,
+    for the windows that start from first to last.
+
+    Low values are enough to look at, unless some window holds none of them.
+    """
+    windows = len(h) - width + 1
+    low = np.flatnonzero(h < np.uint64(1 << 60))
+    edges = np.concatenate([[-1], low, [len(h)]])
+    if (np.diff(edges) > width).any():
+        low = np.arange(len(h))
+    values = h[low].tolist()
+    # Between the last value not above it and the next one below, a value is the lowest.
+    after, before, stack = [len(low)] * len(low), [-1] * len(low), []
+    for i, value in enumerate(values):
+        while stack and values[stack[-1]] > value:
+            after[stack.pop()] = i
+        if stack:
+            before[i] = stack[-1]
+        stack.append(i)
+    places = np.concatenate([low, [len(h)], [-1]])  # behind the last one, before the first one
+    first = np.maximum(places[before] + 1, low - width + 1)
+    last = np.minimum(np.minimum(places[after] - width, low), windows - 1)
+    first = np.maximum(first, 0)
+    some = first <= last
+    return low[some], first[some], last[some]
 
 
 def anchors(raw: bytes, length: int = LENGTH, gram: int = GRAM) -> tuple[np.ndarray, ...]:
@@ -65,11 +81,8 @@ def anchors(raw: bytes, length: int = LENGTH, gram: int = GRAM) -> tuple[np.ndar
     codes, found = np.frombuffer(raw, np.uint8), []
     for start in range(0, len(codes) - length + 1, BLOCK):
         h = buckets(codes[start : start + BLOCK + length - 1], gram)
-        at = _lowest(h, length - gram + 1)
-        ends = np.flatnonzero(at[1:] != at[:-1])
-        first = np.concatenate([[0], ends + 1])
-        last = np.concatenate([ends, [len(at) - 1]])
-        found.append([h[at[first]], at[first] + start, first + start, last + start])
+        at, first, last = _runs(h, length - gram + 1)
+        found.append([h[at], at + start, first + start, last + start])
     if not found:
         return (np.empty(0, np.uint64), *(np.empty(0, np.int64) for _ in range(3)))
     bucket, anchor, first, last = (np.concatenate(c) for c in zip(*found, strict=True))
@@ -164,7 +177,7 @@ def _steps(spans: DataFrame, length: int) -> DataFrame:
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         digest = xxhash.xxh3_64_intdigest
         signed = lambda x: x - (1 << 64) if x >> 63 else x
-        for batch in _slices(batches, 2000):
+        for batch in _slices(batches, 1000):
             rows = []
             columns = (batch[c].to_pylist() for c in ("bucket", "offsets", "first", "k1", "k2", "span"))
             for bucket, offsets, first, k1, k2, span in zip(*columns, strict=True):
@@ -186,7 +199,7 @@ def _windows(steps: DataFrame, length: int) -> DataFrame:
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         digest = xxhash.xxh3_64_intdigest
-        for batch in _slices(batches, 2000):
+        for batch in _slices(batches):
             rows = []
             columns = (batch[c].to_pylist() for c in ("bucket", "offsets", "first", "k1", "k2", "span", "wanted"))
             for bucket, offsets, first, k1, k2, span, wanted in zip(*columns, strict=True):
@@ -206,7 +219,7 @@ def _repeats(texts: DataFrame, length: int, gram: int) -> DataFrame:
 
     kind 1: the entry that starts at a; kind 2: the strings that start from a to b.
     """
-    rows = _entry_rows(texts, length, gram)
+    rows = parked(_entry_rows(texts, length, gram), "rows")
     entry = ["bucket", "offsets", "name"]
     found = rows.groupBy(*entry).agg(
         F.min("k1").alias("lo"), F.max("k1").alias("hi"), F.max("many").alias("many")
