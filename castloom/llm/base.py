@@ -3,10 +3,6 @@
 from __future__ import annotations
 
 import uuid
-from collections.abc import Iterator
-
-import pyarrow as pa
-import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -23,10 +19,15 @@ BATCH_ROWS = 1000
 _parked: list[str] = []
 
 
-def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
-    """A table of a folder, in a session set up for the operators."""
+def ready(spark: SparkSession) -> SparkSession:
+    """The session, set up for the operators."""
     tune(spark).conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
-    return spark.read.parquet(f"{folder}/{name}.parquet")
+    return spark
+
+
+def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
+    """A table of a folder, in a session that is ready."""
+    return ready(spark).read.parquet(f"{folder}/{name}.parquet")
 
 
 def scratch(spark: SparkSession, name: str) -> str:
@@ -60,16 +61,3 @@ def sweep(spark: SparkSession, since: int = 0, until: int | None = None) -> None
 def pick(df: DataFrame, **columns: str) -> DataFrame:
     """Only the named columns, under own names: extra columns of the caller never clash."""
     return df.select(*(F.col(f"`{source}`").alias(name) for name, source in columns.items()))
-
-
-def slices(batches: Iterator[pa.RecordBatch], column: str, most: int) -> Iterator[pa.RecordBatch]:
-    """Cut Arrow batches so that a piece holds about `most` bytes of text; a row stays whole."""
-    for batch in batches:
-        start, total = 0, 0
-        for i, size in enumerate(pa.compute.binary_length(batch.column(column)).to_pylist()):
-            if total and total + (size or 0) > most:
-                yield batch.slice(start, i - start)
-                start, total = i, 0
-            total += size or 0
-        if start < batch.num_rows:
-            yield batch.slice(start)

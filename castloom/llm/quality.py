@@ -187,15 +187,15 @@ def _kept(f: Column) -> Column:
     inside = ~base_failed(f)
     for name in METRICS:
         value = _metric(f, name)
-        inside &= F.coalesce(value <= F.col(f"{name}_high"), F.lit(True))
+        inside &= F.coalesce(value <= F.col(f"__{name}_high"), F.lit(True))
         if name in TWO_SIDED:
-            inside &= F.coalesce(value >= F.col(f"{name}_low"), F.lit(True))
+            inside &= F.coalesce(value >= F.col(f"__{name}_low"), F.lit(True))
     return inside
 
 
 def _judged(rows: DataFrame, limits: DataFrame, lang: str, source: str) -> DataFrame:
     """Rows with `__f` get `__kept`. Limits are broadcast only if Spark finds them small."""
-    renamed = limits.withColumnsRenamed({"lang": "__lang", "source": "__source"})
+    renamed = limits.select(*(F.col(c).alias(f"__{c}") for c in limits.columns))
     same = F.col(f"`{lang}`").eqNullSafe(F.col("__lang")) & F.col(f"`{source}`").eqNullSafe(
         F.col("__source")
     )

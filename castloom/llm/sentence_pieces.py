@@ -21,7 +21,7 @@ SPACE = "▁"
 UNIGRAM, BPE = 1, 2
 NORMAL, UNKNOWN, CONTROL, USER_DEFINED, UNUSED, BYTE = range(1, 7)
 #: Different segments that a task remembers before it starts anew.
-MOST_KNOWN = 500_000
+MOST_KNOWN = 200_000
 #: Documents encoded at a time.
 ROWS = 500
 
@@ -180,7 +180,11 @@ class Codec:
         self.own = sentencepiece.SentencePieceProcessor(model_proto=self.model.plain())
         self.original = sentencepiece.SentencePieceProcessor(model_proto=raw)
         self.find = re.compile(f"{SPACE}*[^{SPACE}]+|{SPACE}+$").findall
-        self.known: dict[str, tuple[list[int], str, bool]] = {}
+        self.known: dict[str, list[int]] = {}
+        #: Segments that decode to something else than themselves, or that the tokenizer
+        #: encodes otherwise than SentencePiece.
+        self.odd: dict[str, str] = {}
+        self.unlike: set[str] = set()
 
     def _learn(self, segments: list[str]) -> None:
         model = self.tokenizer.normalizer, self.tokenizer.pre_tokenizer
@@ -191,31 +195,38 @@ class Codec:
         for segment, ids, text, own in zip(
             segments, encoded, decoded, self.own.encode(segments, num_threads=1), strict=True
         ):
-            same = ids == own
-            self.known[segment] = (own, text if same else self._decoded(own), same)
-
-    def _decoded(self, ids: list[int]) -> str:
-        return self.tokenizer.decode(ids, skip_special_tokens=False)
+            self.known[segment] = own
+            if ids != own:
+                self.unlike.add(segment)
+                text = self.tokenizer.decode(own, skip_special_tokens=False)
+            if text != segment.replace(SPACE, " "):
+                self.odd[segment] = text
 
     def encode(self, texts: list[str]) -> list[tuple[list[int], str, bool]]:
         """(ids, decoded, parity) of each text."""
-        found, parity = [], []
+        normals, found, parity = [], [], []
         for text in texts:
             normal = self.tokenizer.normalizer.normalize_str(text)
+            normals.append(normal)
             parity.append(normal == self.original.normalize(text))
             found.append(self.find(normal) if self.model.splits else [normal] if normal else [])
         if len(self.known) > MOST_KNOWN:
             self.known.clear()
+            self.odd.clear()
+            self.unlike.clear()
         new = [s for s in {s for segments in found for s in segments} if s not in self.known]
         if new:
             self._learn(new)
-        out, known = [], self.known
-        for segments, same in zip(found, parity, strict=True):
-            parts = [known[s] for s in segments]
-            text = "".join([p[1] for p in parts])
+        out, known, odd = [], self.known, self.odd
+        for normal, segments, same in zip(normals, found, parity, strict=True):
+            if odd and not odd.keys().isdisjoint(segments):
+                text = "".join([odd[s] if s in odd else s.replace(SPACE, " ") for s in segments])
+            else:
+                text = normal.replace(SPACE, " ")
             if self.model.dummy_prefix:
                 text = text.removeprefix(" ")
-            out.append(([i for p in parts for i in p[0]], text, same and all(p[2] for p in parts)))
+            same = same and self.unlike.isdisjoint(segments)
+            out.append(([i for s in segments for i in known[s]], text, same))
         return out
 
     def decode(self, ids: list[list[int]]) -> list[str]:
