@@ -13,15 +13,17 @@ WORD = r"[^\x20\x09-\x0D]+"
 #: The characters between words.
 BLANKS = "\t\n\x0b\x0c\r "
 
-#: Rows that Spark hands to Python at a time: texts are long.
-BATCH_ROWS = 1000
+#: Rows that Spark reads, and hands to Python, at a time: texts are long.
+BATCH_ROWS = 500
 
 _parked: list[str] = []
 
 
 def ready(spark: SparkSession) -> SparkSession:
     """The session, set up for the operators."""
-    tune(spark).conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    tune(spark)
+    for name in ("spark.sql.execution.arrow.maxRecordsPerBatch", "spark.sql.parquet.columnarReaderBatchSize"):
+        spark.conf.set(name, str(BATCH_ROWS))
     return spark
 
 

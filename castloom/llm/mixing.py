@@ -171,7 +171,7 @@ def mixed(
     sizes = parked(_sizes(docs, doc_id, text, source, seed), "sizes")
     plan = _taken(sizes, parked(targets(sizes, weights, share, epochs), "quotas"))
     more = ((F.col("part") > 0) & (2 * F.col("part") >= F.col("size"))).cast("long")
-    plan = plan.groupBy("doc_id", "digest").agg(
+    plan = plan.where("size > 0").groupBy("doc_id", "digest").agg(
         F.sum(F.col("whole") + more).alias("__copies"), F.count("*").alias("__rows")
     )
     plan = parked(plan.where("__copies > 0"), "plan").withColumnsRenamed(

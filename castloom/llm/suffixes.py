@@ -316,7 +316,9 @@ def remove_repeats(
     texts = _keyed(rows, F.col("text"))
     copied = texts.groupBy("k1", "k2").count().where("count > 1")
     whole = copied.select("k1", "k2", F.lit(0).alias("kind"), F.lit(0).alias("a"), F.lit(0).alias("b"))
-    told = whole.unionByName(_repeats(texts.select("text", "k1", "k2"), length, gram))
+    # A copied text goes as a whole: nothing else needs to be told to its many rows.
+    repeats = _repeats(texts.select("text", "k1", "k2"), length, gram)
+    told = whole.unionByName(repeats.join(copied.select("k1", "k2"), ["k1", "k2"], "left_anti"))
     told = told.groupBy("k1", "k2").agg(F.collect_list(F.struct("kind", "a", "b")).alias("told"))
     kind = dict(rows.dtypes)["doc_id"]
 

@@ -75,11 +75,9 @@ class Level:
     n_bits: int
 
     def positions(self, key: Column) -> list[Column]:
-        first, step = F.xxhash64(F.lit(self.number), key), F.xxhash64(key, F.lit(self.number))
-        return [
-            F.pmod(first + F.lit(i) * F.shiftright(step, 8), F.lit(self.n_bits)).cast("long")
-            for i in range(HASHES)
-        ]
+        first = F.shiftright(F.xxhash64(F.lit(self.number), key), 8)  # sums stay within 64 bits
+        step = F.shiftright(F.xxhash64(key, F.lit(self.number)), 8)
+        return [F.pmod(first + i * step, F.lit(self.n_bits)).cast("long") for i in range(HASHES)]
 
     def holds(self, key: Column) -> Column:
         """Whether the filter says yes; the words come as one scalar, not by a join."""

@@ -21,6 +21,8 @@ SAMPLE_ROWS, ROUTE_ROWS = 8192, 16
 BLOCK_QUERIES = 8192
 #: Candidates beyond k + 1 kept by rounded products, before exact scores decide.
 SPARE = 8
+#: Distances that differ by less may be equal.
+ROUNDING = 1e-9
 
 
 @dataclass
@@ -71,7 +73,9 @@ class Found:
     def add(self, of: np.ndarray, rows: np.ndarray, away: np.ndarray) -> None:
         away = np.concatenate([self.away[of], away], axis=1)
         row = np.concatenate([self.row[of], np.broadcast_to(rows, (len(of), len(rows)))], axis=1)
-        best = np.argpartition(away, self.keep - 1, axis=1)[:, : self.keep]
+        ids = np.argsort(row, axis=1, kind="stable")  # rows are in the order of their ids
+        best = np.argsort(np.take_along_axis(away, ids, axis=1), axis=1, kind="stable")
+        best = np.take_along_axis(ids, best[:, : self.keep], axis=1)
         self.away[of] = np.take_along_axis(away, best, axis=1)
         self.row[of] = np.take_along_axis(row, best, axis=1)
         self.reach[of] = np.minimum(self.reach[of], self.away[of].max(axis=1))
@@ -93,7 +97,7 @@ def descend(
     inside = away < node.radius
     descend(node.inner, points, queries, of[inside], found, factor)
     descend(node.outer, points, queries, of[~inside], found, factor)
-    crossing = np.abs(away - node.radius) * factor <= found.reach[of]
+    crossing = np.abs(away - node.radius) * factor <= found.reach[of] + ROUNDING
     descend(node.outer, points, queries, of[inside & crossing], found, factor)
     descend(node.inner, points, queries, of[~inside & crossing], found, factor)
 
@@ -199,6 +203,7 @@ def _visit(points: DataFrame, asking: DataFrame, k: int, longest: float, factor:
         shape = ("query", "rep", "score", "away")
         if not (shard.num_rows and asked.num_rows):
             return pa.table({c: pa.array([], pa.float64() if c in shape[2:] else pa.int64()) for c in shape})
+        shard = shard.sort_by("rep")
         plain, wanted = _matrix(shard["vector"]), _matrix(asked["vector"])
         lifted, scaled = _lifted(plain, longest), _asking(wanted, longest)
         reach = asked["reach"].to_numpy()
@@ -312,7 +317,7 @@ def search(
                 if first:
                     query, leaf = np.arange(len(own)), own
                 else:
-                    near = routes.nearest(asked) * factor <= reach[:, None]
+                    near = routes.nearest(asked) * factor <= reach[:, None] + ROUNDING
                     near[np.arange(len(own)), own] = False
                     query, leaf = np.nonzero(near)
                 yield pa.RecordBatch.from_arrays(
