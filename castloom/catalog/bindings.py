@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from castloom.operators.ordered import positions
@@ -13,10 +13,18 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return tune(spark).read.parquet(f"{folder}/{name}.parquet")
 
 
+def usage_id(number: Column) -> Column:
+    """An id as ledgers have them: a UUID, here made from the number of the row."""
+    return F.regexp_replace(
+        F.md5(number.cast("string")), "^(.{8})(.{4})(.{4})(.{4})(.{12})$", "$1-$2-$3-$4-$5"
+    )
+
+
 def usage(spark: SparkSession, folder: str) -> DataFrame:
     kind, number = F.col("event_type"), F.col("event_id") % 4
     return table(spark, folder, "events").select(
-        F.col("event_id").cast("string").alias("usage_id"),
+        usage_id(F.col("event_id")).alias("usage_id"),
+        F.col("event_id").alias("position"),
         F.when(kind == "view", "youtube")
         .when(kind == "error", "codex")
         .when(kind == "purchase", "claude")
@@ -91,14 +99,18 @@ def jobs(spark: SparkSession, folder: str) -> DataFrame:
 
 def notes(spark: SparkSession, folder: str) -> DataFrame:
     orders = table(spark, folder, "orders").where("o_orderstatus = 'F'")
-    documents = table(spark, folder, "documents").select("doc_id", "n_chars", "text")
-    return orders.join(documents, F.col("doc_id") == F.col("o_orderkey") % 200).select(
+    documents = table(spark, folder, "documents").select("doc_id", "text")
+    number = F.col("o_orderkey") % documents.count()
+    return orders.join(documents, F.col("doc_id") == number).select(
         F.col("o_orderkey").alias("note_id"),
         F.col("o_orderkey").alias("job_id"),
         F.col("o_custkey").alias("user_id"),
         (F.col("o_orderkey") % 400).alias("source_id"),
-        F.concat(F.lit("Note "), "o_orderkey").alias("title"),
-        F.when(F.col("n_chars") <= 1000, F.col("text")).alias("summary"),
+        F.concat(
+            F.when(F.col("o_orderkey") % 3 == 0, "Note ").when(F.col("o_orderkey") % 3 == 1, "note ").otherwise("Nöte "),
+            F.floor(F.col("o_orderkey") / 8),
+        ).alias("title"),
+        F.when(F.col("o_orderkey") % 5 != 0, F.col("text")).alias("summary"),
         F.col("o_orderdate").cast("timestamp").alias("created_at"),
     )
 
@@ -182,7 +194,8 @@ def note_meta(spark: SparkSession, folder: str) -> DataFrame:
 
 _SQL = {
     "usage": """
-SELECT CAST(event_id AS VARCHAR) AS usage_id,
+SELECT regexp_replace(md5(CAST(event_id AS VARCHAR)), '^(.{8})(.{4})(.{4})(.{4})(.{12})$',
+         '\\1-\\2-\\3-\\4-\\5') AS usage_id, event_id AS position,
        CASE event_type WHEN 'view' THEN 'youtube' WHEN 'error' THEN 'codex'
             WHEN 'purchase' THEN 'claude' ELSE 'gemini' END AS provider,
        CASE event_id % 4 WHEN 0 THEN 'transcription' WHEN 1 THEN 'extraction'
@@ -219,10 +232,11 @@ FROM orders""",
     "notes": """
 SELECT o.o_orderkey AS note_id, o.o_orderkey AS job_id, o.o_custkey AS user_id,
        o.o_orderkey % 400 AS source_id,
-       concat('Note ', CAST(o.o_orderkey AS VARCHAR)) AS title,
-       CASE WHEN d.n_chars > 1000 THEN NULL ELSE d.text END AS summary,
+       CASE o.o_orderkey % 3 WHEN 0 THEN 'Note ' WHEN 1 THEN 'note ' ELSE 'Nöte ' END
+         || o.o_orderkey // 8 AS title,
+       CASE WHEN o.o_orderkey % 5 <> 0 THEN d.text END AS summary,
        o.o_orderdate AS created_at
-FROM orders o JOIN documents d ON d.doc_id = o.o_orderkey % 200
+FROM orders o JOIN documents d ON d.doc_id = o.o_orderkey % (SELECT count(*) FROM documents)
 WHERE o.o_orderstatus = 'F'""",
     "cache_entries": """
 SELECT doc_id AS entry_id, concat('.', lang) AS ext, n_chars AS size_bytes,

@@ -88,7 +88,7 @@ def session_cost(spark, folder):
 
 def append_usage(spark, folder):
     rows = _ledger(spark, folder)
-    number = F.col("usage_id").cast("bigint")
+    number = F.col("position")
     grown = costs.append_usage(rows.where(number % 3 != 0), rows.where(number % 2 == 0))
     return grown.groupBy("provider").agg(
         F.count(F.lit(1)).alias("records"), F.sum("input_tokens").alias("input_tokens")
@@ -157,31 +157,31 @@ SELECT episode_title, round(cost_usd, 9) AS cost_usd,
 FROM per_episode ORDER BY round(per_episode.cost_usd, 9) DESC, seen, seen_id LIMIT 10""",
         per_episode="""
 SELECT episode_title, sum(cost_usd) AS cost_usd, min(used_at) AS seen,
-       arg_min(usage_id, used_at) AS seen_id
+       arg_min(position, (used_at, position)) AS seen_id
 FROM ledger WHERE episode_title IS NOT NULL GROUP BY episode_title""",
     ),
     "recent_usage": _sql("""
 SELECT usage_id, provider, strftime(used_at, '%Y-%m-%d %H:%M:%S') AS used_at,
        round(cost_usd, 9) AS cost_usd
-FROM ledger ORDER BY ledger.used_at DESC, CAST(usage_id AS BIGINT) LIMIT 10"""),
+FROM ledger ORDER BY ledger.used_at DESC, position LIMIT 10"""),
     "recent_totals": _sql(
         """
 SELECT round(sum(cost_usd) FILTER (cost_known), 9) AS known_cost_usd,
        count(*) FILTER (NOT cost_known) AS unknown_operations FROM newest""",
-        newest="SELECT * FROM ledger ORDER BY used_at DESC, CAST(usage_id AS BIGINT) LIMIT 100",
+        newest="SELECT * FROM ledger ORDER BY used_at DESC, position LIMIT 100",
     ),
     "session_cost": _sql("""
 SELECT usage_id, coalesce(episode_title, 'none') AS run,
        round(sum(cost_usd) OVER (PARTITION BY coalesce(episode_title, 'none')
-             ORDER BY used_at, usage_id ROWS UNBOUNDED PRECEDING), 9) AS session_cost_usd
+             ORDER BY used_at, position ROWS UNBOUNDED PRECEDING), 9) AS session_cost_usd
 FROM ledger WHERE used_at >= TIMESTAMP '2024-01-02 00:00:00'"""),
     "append_usage": _sql(
         """
 SELECT provider, count(*) AS records, CAST(sum(input_tokens) AS BIGINT) AS input_tokens
 FROM grown GROUP BY provider""",
-        old="SELECT * FROM ledger WHERE CAST(usage_id AS BIGINT) % 3 <> 0",
+        old="SELECT * FROM ledger WHERE position % 3 <> 0",
         grown="""
-SELECT * FROM old UNION ALL SELECT * FROM ledger l WHERE CAST(usage_id AS BIGINT) % 2 = 0
+SELECT * FROM old UNION ALL SELECT * FROM ledger l WHERE position % 2 = 0
 AND NOT EXISTS (SELECT 1 FROM old o WHERE o.usage_id = l.usage_id)""",
     ),
     "usage_from_results": oracle(

@@ -213,11 +213,19 @@ def resolve_feed(spark, folder):
 
 
 def resolve_close_feed(spark, folder):
-    """Misspelt display names, which only the closest match finds."""
-    k = F.col("c_custkey")
-    name = F.concat(F.lit("the grnd shaw "), k % 60, F.lit("x"))
-    names = table(spark, folder, "customer").select(k.alias("name_id"), name.alias("name"))
-    return fd.resolve_feed(names, _stored(spark, folder)).select("name_id", "feed")
+    """Misspelt display names, which only the closest match finds, among unrelated ones."""
+    told = lambda n: F.substring(F.md5(n.cast("string")), 1, 24)
+    k = F.col("s_suppkey")
+    stored = table(spark, folder, "supplier").select(
+        F.concat(F.lit("feed-"), k).alias("feed"), k.alias("feed_no"),
+        F.concat(F.lit("Show "), told(k)).alias("display_name"),
+    )
+    c = F.col("c_custkey")
+    meant = told(c % stored.count())
+    wrong = F.concat(F.lit("show "), F.substring(meant, 1, 9), F.lit("zz"), F.substring(meant, 11, 14))
+    name = F.when(c % 3 != 0, wrong).otherwise(F.concat(F.lit("shaw "), told(F.concat(F.lit("x"), c))))
+    names = table(spark, folder, "customer").select(c.alias("name_id"), name.alias("name"))
+    return fd.resolve_feed(names, stored).select("name_id", "feed")
 
 
 def same_channel(spark, folder):
@@ -469,6 +477,25 @@ LEFT JOIN (SELECT display_name, arg_max(feed, k) AS feed FROM stored
      'The Grand Show ' || (c.c_custkey % 6 + 1 + c.c_custkey % 6 // 3)""",
         stored=_KEYS,
     ),
+    "resolve_close_feed": oracle(
+        """SELECT c_custkey AS name_id, CASE WHEN c_custkey % 3 <> 0
+       THEN 'feed-' || c_custkey % (SELECT count(*) FROM supplier) END AS feed FROM customer"""
+    ),
+    "transcript_paths": oracle(
+        """SELECT entry_id, base || CASE WHEN n > 1 THEN '-' || n ELSE '' END || '.transcript.md' AS path
+FROM (SELECT *, row_number() OVER (PARTITION BY base ORDER BY entry_id) AS n FROM (
+  SELECT entry_id, CASE entry_id % 3 WHEN 0 THEN 'my-show' WHEN 1 THEN 'part-' || entry_id % 20
+         ELSE replace(regexp_extract(regexp_extract(url, '^[^?#]*'), '([^/]+)/*$', 1), '.', '-') END AS base
+  FROM entries))""",
+        "entries",
+    ),
+    "dedupe_names": oracle(
+        """SELECT no, base || CASE WHEN n > 1 THEN '-' || n ELSE '' END AS feed
+FROM (SELECT no, base, row_number() OVER (PARTITION BY base ORDER BY no)
+        + (base IN (SELECT 'show-' || n_nationkey * 3 FROM nation))::INT AS n FROM (
+  SELECT c_custkey AS no, CASE WHEN c_custkey % 3 <> 0 THEN 'show-' || c_custkey % 90
+         WHEN c_custkey % 6 = 0 THEN 'youtube-feed' ELSE 'uc' || c_custkey % 9 END AS base FROM customer))"""
+    ),
     "same_channel": oracle(
         """SELECT c_custkey AS candidate_id, 'UC' || c_custkey % 70 AS channel_id, feed
 FROM customer LEFT JOIN (SELECT k % 50 AS ch, arg_min(feed, k) AS feed FROM stored GROUP BY ALL) s

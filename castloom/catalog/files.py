@@ -5,19 +5,16 @@ from __future__ import annotations
 import uuid
 from datetime import datetime
 
-import pandas as pd
 from pyspark.sql import functions as F
 
 from castloom.catalog import bindings as b
 from castloom.catalog.bindings import oracle, table
 from castloom.catalog.costs import _PRICED, _ledger
-from castloom.catalog.functions import _SP, _strip
 from castloom.operators import feeds as fd
 from castloom.operators import transcripts as tr
-from castloom.plans import run
 from castloom.session import shared_dir
 from castloom.sinks import notes as sink
-from castloom.sources import articles, feeds, files
+from castloom.sources import feeds, files, templates
 from castloom.streaming import streams
 
 AS_OF = datetime(2025, 1, 1)
@@ -81,26 +78,65 @@ def read_feeds(spark, folder):
     )
 
 
-def read_articles(spark, folder):
-    good, _ = articles.read_articles(table(spark, folder, "pages"))
-    return good.select("page_id", "url", F.length("text").cast("bigint").alias("characters"))
+def read_cut_feeds(spark, folder):
+    """RSS documents that break off in their last item, which is lost with them."""
+    path, cut = _feed_files(spark, folder), _scratch(spark, "cut")
+    texts = spark.read.text(path, wholetext=True).where("n % 2 = 0")
+    broken = F.regexp_replace("value", r"(?s)</enclosure>?\s*|</item></channel></rss>.*$", "")
+    texts.select("n", broken.alias("value")).repartition(F.col("n")).write.partitionBy("n").text(cut)
+    return feeds.read_cut_feeds(spark, cut).select("position", "title", "link")
 
 
 def read_texts(spark, folder):
-    """Conversations written as text files, two to a partition folder, and read back."""
+    """Conversations written as text files, one to a folder, and read back."""
     texts = tr.full_text(b.segments(spark, folder), "\n")
     path = _scratch(spark, "texts")
-    texts.repartition(F.col("episode_id")).withColumn("episode_dir", F.col("episode_id") % 4).select(
-        "episode_dir", F.col("text").alias("value")
-    ).write.partitionBy("episode_dir").option("lineSep", "\n").text(path)
+    texts.repartition(F.col("episode_id")).select("episode_id", F.col("text").alias("value")).write.partitionBy(
+        "episode_id"
+    ).option("lineSep", "\n").text(path)
     good, _ = files.read_texts(spark, path)
-    return good.agg(F.sum(F.length("text")).alias("characters"))
+    return good.select(
+        F.regexp_extract("path", r"episode_id=(\d+)/", 1).cast("bigint").alias("episode_id"),
+        F.sha2("text", 256).alias("text_hash"),
+    )
 
 
-def read_usage(spark, folder):
+def read_notes(spark, folder):
+    """Documents written as notes, every other one with front matter, and read back."""
+    k = F.col("doc_id")
+    front = F.concat(F.lit("---\ntemplate_version: '"), k % 5, F.lit(".0'\ntitle: x\n---\n\n"))
+    text = F.concat(F.lit("# "), "text")
+    notes = table(spark, folder, "documents").select(
+        F.col("source").alias("podcast"), k.alias("episode"),
+        F.when(k % 2 == 0, F.concat(front, text)).otherwise(text).alias("value"),
+    )
+    path = _scratch(spark, "notes")
+    notes.repartition("podcast", "episode").write.partitionBy("podcast", "episode").text(path)
+    read = files.read_notes(spark, path, pattern="*.txt")
+    return read.select("podcast_dir", "episode_dir", "version", F.sha2("content", 256).alias("content_hash"))
+
+
+def read_templates(spark, folder):
+    """One template file a nation; one of them takes the place of a built-in template."""
+    k, path = F.col("n_nationkey"), _scratch(spark, "templates")
+    name = F.when(k == 3, F.lit("summary")).otherwise(F.lower("n_name"))
+    text = F.concat(
+        F.lit("name: '"), name, F.lit("'\nversion: '"), k, F.lit(".1'\ndescription: d\nsystem_prompt: s\npriority: "), k,
+        F.lit("\nuser_prompt_template: '{{ transcript }}'\nexpected_format: json\noutput_schema: {required: [a, b]}\n"),
+        F.when(k % 2 == 0, "category: tech\n").otherwise(""),
+    )
+    rows = table(spark, folder, "nation").select(k.alias("k"), text.alias("value"))
+    rows.repartition("k").write.partitionBy("k").text(path)
+    read = templates.read_templates(spark, path, pattern="*.txt")
+    return read.where("expected_format = 'json' AND system_prompt = 's'").select(
+        "name", "version", "priority", "category", "required_fields", "max_tokens"
+    )
+
+
+def _read_ledger(spark, folder):
     """The ledger written as JSON arrays of at most a thousand rows, and read back."""
     rows = _ledger(spark, folder)
-    number = F.col("usage_id").cast("bigint")
+    number = F.col("position")
     record = F.struct(
         F.when(number % 4 != 0, F.col("usage_id")).alias("usage_id"), "provider", "operation",
         "input_tokens", "output_tokens", "cost_usd", "cost_known",
@@ -109,7 +145,11 @@ def read_usage(spark, folder):
     arrays = rows.groupBy(F.floor(number / 1000).alias("part")).agg(F.collect_list(record).alias("rows"))
     path = _scratch(spark, "usage")
     arrays.repartition(F.col("part")).select("part", F.to_json("rows").alias("value")).write.partitionBy("part").text(path)
-    read = files.read_usage(spark, path)
+    return files.read_usage(spark, path)
+
+
+def read_usage(spark, folder):
+    read = _read_ledger(spark, folder)
     return read.groupBy("provider", "operation").agg(
         F.count(F.lit(1)).alias("records"),
         F.sum("total_tokens").alias("total_tokens"),
@@ -118,7 +158,7 @@ def read_usage(spark, folder):
     )
 
 
-def read_audit(spark, folder):
+def _read_changes(spark, folder):
     """Feed changes appended as JSON lines among broken ones, and read back."""
     from castloom.catalog.feeds import _stored
 
@@ -126,14 +166,23 @@ def read_audit(spark, folder):
     after = before.where(F.col("feed_no") % 7 != 0)
     path = _scratch(spark, "audit")
     sink.append_audit(fd.feed_changes(before, after), path, datetime(2024, 5, 6))
-    before.limit(3).select(F.lit('{"timestamp": "broken').alias("value")).write.mode("append").text(path)
-    read = files.read_audit(spark, path)
+    broken = before.where(F.col("feed_no") % 9 == 0)
+    broken.select(F.concat(F.lit('{"timestamp": "broken '), "feed_no").alias("value")).write.mode("append").text(path)
+    return files.read_audit(spark, path)
+
+
+def read_audit(spark, folder):
+    read, _ = _read_changes(spark, folder)
     return read.select(
         "operation", F.get_json_object("details", "$.feed_name").alias("feed"),
         F.date_format("timestamp", "yyyy-MM-dd").alias("day"),
     )
 
 
+def audit_rejects(spark, folder):
+    return _read_changes(spark, folder)[1]
+
+
 def _note_rows(spark, folder):
     docs = table(spark, folder, "documents")
     results = docs.where(F.col("doc_id") % 2 == 0).select(
@@ -174,142 +223,107 @@ def load_meta(spark, folder):
     return files.load_meta(rows)
 
 
-_EVENTS = "event_id bigint, ts timestamp_ntz, user_id bigint, event_type string, value double, props string"
+_EVENTS = "event_id bigint, ts timestamp, user_id bigint, event_type string, value double, late boolean"
 
 
-def _event_stream(spark, folder):
-    """The event table as a stream of files, each record delivered twice."""
+def _received(spark, folder):
+    """The event table in four deliveries by time. Every fifth record comes twice, the second
+    time one delivery later; every 97th comes with the last delivery only, long overdue."""
     path = _scratch(spark, "events")
-    events = table(spark, folder, "events").withColumn("ts", F.col("ts").cast("timestamp_ntz"))
-    events.unionByName(events.where("event_id % 5 = 0")).repartitionByRange(4, "ts").write.parquet(path)
-    return streams.file_stream(spark, path, _EVENTS)
+    events = table(spark, folder, "events").select(
+        "event_id", F.col("ts").cast("timestamp").alias("ts"), "user_id", "event_type", "value",
+        (F.col("event_id") % 97 == 3).alias("late"),
+    )
+    days = events.agg(F.min("ts").alias("a"), F.max("ts").alias("b"))
+    whole = F.unix_micros(days.select("b").scalar()) - F.unix_micros(days.select("a").scalar()) + 1
+    part = F.floor((F.unix_micros("ts") - F.unix_micros(days.select("a").scalar())) * 4 / whole).cast("int")
+    parts = events.withColumn("part", F.when(F.col("late"), 3).otherwise(part))
+    again = parts.where("event_id % 5 = 0").withColumn("part", F.least(F.col("part") + 1, F.lit(3)))
+    # The last delivery ends with a mark in the far future, which closes all windows.
+    mark = days.select(
+        F.lit(-1).cast("bigint").alias("event_id"), F.timestamp_add("DAY", F.lit(30), "b").alias("ts"),
+        F.lit(-1).cast("bigint").alias("user_id"), F.lit("mark").alias("event_type"), F.lit(0.0).alias("value"),
+        F.lit(False).alias("late"), F.lit(4).alias("part"),
+    )
+    every = parts.unionByName(again).unionByName(mark)
+    for n in range(5):
+        every.where(F.col("part") == n).drop("part").coalesce(1).write.mode("append").parquet(path)
+    return path
 
 
-def _usage_stream(spark, folder):
+def _usage_of(events):
     e = F.col("event_id")
-    return _event_stream(spark, folder).select(
-        e.cast("string").alias("usage_id"),
-        F.when(F.col("event_type") == "purchase", "claude").otherwise("gemini").alias("provider"),
+    return events.select(
+        b.usage_id(e).alias("usage_id"),
+        F.when(F.col("event_type") == "purchase", "claude")
+        .when(F.col("event_type") == "mark", "mark").otherwise("gemini").alias("provider"),
         F.floor(F.col("value") * 1000).cast("bigint").alias("input_tokens"),
         F.floor(F.col("value") * 50).cast("bigint").alias("output_tokens"),
         (e % 8 / 8).alias("cost_usd"),
-        F.col("ts").cast("timestamp").alias("used_at"),
+        F.col("ts").alias("used_at"),
     )
 
 
+def _usage_stream(spark, path):
+    return _usage_of(streams.file_stream(spark, path, _EVENTS, files_per_batch=1))
+
+
+def _ledger_and_late(spark, path):
+    """What the ledger stream emits, and what comes too late for it."""
+    ledger = streams.run_to_table(streams.stream_usage(_usage_stream(spark, path)))
+    return ledger, streams.late_usage(_usage_of(spark.read.schema(_EVENTS).parquet(path)), ledger)
+
+
 def stream_usage(spark, folder):
-    rows = streams.run_to_table(streams.stream_usage(_usage_stream(spark, folder)))
-    return rows.select("usage_id", "provider", "input_tokens")
+    ledger, late = _ledger_and_late(spark, _received(spark, folder))
+    rows = ledger.withColumn("late", F.lit(False)).unionByName(
+        late.withColumn("late", F.lit(True)), allowMissingColumns=True
+    )
+    return rows.where("provider <> 'mark'").select("usage_id", "provider", "input_tokens", "late")
 
 
 def stream_costs(spark, folder):
-    rows = streams.run_to_table(
-        streams.stream_costs(_usage_stream(spark, folder), "6 hours", "3 hours"), "update"
-    )
-    last = streams.last_emitted(rows, "window_start", "provider")
-    return last.select(
+    path = _received(spark, folder)
+    _, late = _ledger_and_late(spark, path)
+    emitted = streams.run_to_table(streams.stream_costs(_usage_stream(spark, path), "6 hours", "3 hours"))
+    rows = streams.with_late_costs(emitted, late, "6 hours", "3 hours").where("provider <> 'mark'")
+    return rows.select(
         F.date_format("window_start", "yyyy-MM-dd HH:mm:ss").alias("window_start"),
         "provider", "records", "tokens", "cost_usd",
     )
 
 
 def stream_jobs(spark, folder):
+    """A job per user; a sign-up ends it."""
     kind = F.col("event_type")
-    progress = _event_stream(spark, folder).select(
+    events = streams.file_stream(spark, _received(spark, folder), _EVENTS, files_per_batch=1)
+    progress = events.where("NOT late AND event_type <> 'mark'").select(
         F.col("user_id").alias("job_id"), "ts", F.col("event_id").alias("seq"),
-        F.lit("running").alias("status"), kind.alias("stage"),
-    )
-    rows = streams.run_to_table(streams.stream_jobs(progress), "update")
-    last = streams.last_emitted(streams.changed_jobs(rows), "job_id")
-    return last.select("job_id", "status", "stage")
-
-
-def _echo(row: pd.DataFrame) -> pd.DataFrame:
-    """Stand-in for a model: answers with the prompt's first word, fails on some rows."""
-    if row["episode_id"][0] % 10 == 7:
-        raise ValueError("refused key AIzaSecret")
-    text = str(row["prompt"][0])
-    return pd.DataFrame(
-        {
-            "raw_content": [text.split(" ")[0]],
-            "input_tokens": [len(text) // 4],
-            "output_tokens": [1],
-            "cost_usd": [0.25],
-            "cost_known": [True],
-        }
-    )
-
-
-def run_extraction(spark, folder):
-    work = b.transcripts(spark, folder).select(
-        "episode_id", F.lit("summary").alias("template_name"), F.lit("markdown").alias("expected_format"),
-        F.col("text").alias("prompt"),
-    )
-    done = run.run_extraction(work, _echo, attempts=2, first_wait=0.0)
-    return done.select("episode_id", "success", "error", "content_text", "input_tokens", "cost_usd")
-
-
-def _speak(row: pd.DataFrame) -> pd.DataFrame:
-    text = str(row["said"][0]).replace(":", ";")
-    return pd.DataFrame({"text": [f"[00:40] A: {text}\n[01:10] B: end"]})
-
-
-def run_transcription(spark, folder):
-    chunks = b.segments(spark, folder).select(
-        "episode_id", F.col("seg_no").alias("chunk"), F.col("text").alias("said")
-    )
-    segments, _ = run.run_transcription(chunks, _speak, attempts=1)
-    return segments.select("episode_id", "chunk", "seg_no", "start_s", "duration_s")
-
-
-def _see(row: pd.DataFrame) -> pd.DataFrame:
-    words = bytes(row["content"][0]).decode("utf-8").split()
-    n = range(len(words))
-    return pd.DataFrame(
-        {
-            "word_no": list(n), "word": words, "block_no": [1] * len(words), "par_no": [1] * len(words),
-            "line_no": [i // 6 for i in n], "confidence": [90.0] * len(words),
-        }
+        F.when(kind == "signup", "succeeded").otherwise("running").alias("status"), kind.alias("stage"),
     )
-
-
-def run_ocr(spark, folder):
-    rows = table(spark, folder, "conversations").select(
-        F.col("conv_id").alias("doc_id"), F.col("turn").alias("page_no"), "text"
-    )
-    images = rows.select("doc_id", "page_no", F.encode("text", "UTF-8").alias("content"))
-    pages = rows.select(
-        "doc_id", "page_no", F.when(F.col("page_no") == 0, F.col("text")).alias("text"), F.lit(False).alias("failed")
-    )
-    good, _ = run.run_ocr(images, pages, _see, attempts=1)
-    return good.select("doc_id", "method", "page_count", F.length("text").cast("bigint").alias("characters"))
-
-
-def render_with(spark, folder):
-    rows = b.results(spark, folder).select("episode_id", "template_name", "success")
-    text = run.render_with(rows, lambda r: r["template_name"] + "/" + r["episode_id"].astype(str))
-    return rows.select("episode_id", text.alias("text"))
+    emitted = streams.run_to_table(streams.stream_jobs(progress, "365 days", "365 days"), "update")
+    return emitted.select("job_id", F.col("batch").cast("int").alias("batch"), "status", "stage")
 
 
 QUERIES = {
     "read_feeds": read_feeds,
-    "read_articles": read_articles,
+    "read_cut_feeds": read_cut_feeds,
     "read_texts": read_texts,
     "read_usage": read_usage,
     "read_audit": read_audit,
+    "audit_rejects": audit_rejects,
+    "read_notes": read_notes,
+    "read_templates": read_templates,
     "write_notes": write_notes,
     "load_meta": load_meta,
     "stream_usage": stream_usage,
     "stream_costs": stream_costs,
     "stream_jobs": stream_jobs,
-    "run_extraction": run_extraction,
-    "run_transcription": run_transcription,
-    "run_ocr": run_ocr,
-    "render_with": render_with,
 }
 
 _KEY = "trim(regexp_replace(lower(s_name), '[^a-z0-9]+', '-', 'g'), '-')"
-_USED = """SELECT event_id, CASE WHEN event_type = 'purchase' THEN 'claude' ELSE 'gemini' END AS provider,
+_USED = """SELECT event_id, regexp_replace(md5(CAST(event_id AS VARCHAR)),
+         '^(.{8})(.{4})(.{4})(.{4})(.{12})$', '\\1-\\2-\\3-\\4-\\5') AS usage_id, CASE WHEN event_type = 'purchase' THEN 'claude' ELSE 'gemini' END AS provider,
        CAST(floor(value * 1000) AS BIGINT) AS input_tokens,
        CAST(floor(value * 50) AS BIGINT) AS output_tokens, event_id % 8 / 8.0::DOUBLE AS cost_usd, ts
 FROM events"""
@@ -344,49 +358,54 @@ WHERE s_suppkey % 7 = 0"""
        CASE WHEN doc_id % 4 = 2 THEN 'newer schema version' END AS warning FROM documents"""
     ),
     "stream_usage": oracle(
-        "SELECT CAST(event_id AS VARCHAR) AS usage_id, provider, input_tokens FROM used", used=_USED
+        """SELECT usage_id, provider, input_tokens, event_id % 97 = 3 AND epoch_us(ts) <= mark AS late
+FROM used, watermark""",
+        used=_USED,
+        watermark="""SELECT max(us) // 1000 * 1000 - 3600000000 AS mark FROM (
+  SELECT event_id, epoch_us(ts) AS us, min(epoch_us(ts)) OVER () AS a, max(epoch_us(ts)) OVER () AS z FROM events)
+WHERE event_id % 97 <> 3 AND floor((us - a) * 4 / (z - a + 1)) < 2""",
     ),
     "stream_costs": oracle(
         """SELECT strftime(to_timestamp(w * 10800) AT TIME ZONE 'UTC', '%Y-%m-%d %H:%M:%S') AS window_start,
        provider, count(*) AS records, CAST(sum(input_tokens + output_tokens) AS BIGINT) AS tokens,
        sum(cost_usd) AS cost_usd
-FROM (SELECT *, unnest([epoch(ts)::BIGINT // 10800, epoch(ts)::BIGINT // 10800 - 1]) AS w FROM (
-  SELECT provider, input_tokens, output_tokens, cost_usd, date_trunc('second', ts) AS ts FROM used
-  UNION ALL SELECT provider, input_tokens, output_tokens, cost_usd, date_trunc('second', ts) FROM used
-  WHERE event_id % 5 = 0)) GROUP BY w, provider""",
+FROM (SELECT *, unnest([s // 10800, s // 10800 - 1]) AS w FROM (
+  SELECT *, epoch(date_trunc('second', ts))::BIGINT AS s FROM used)) GROUP BY w, provider""",
         used=_USED,
     ),
     "stream_jobs": oracle(
-        """SELECT user_id AS job_id, 'running' AS status, arg_max(event_type, (ts, event_id)) AS stage
-FROM events GROUP BY user_id"""
+        """SELECT job_id, part AS batch, CASE WHEN stage = 'signup' THEN 'succeeded' ELSE 'running' END AS status, stage
+FROM (SELECT *, lag(stage) OVER (PARTITION BY job_id ORDER BY part) AS before FROM (
+  SELECT user_id AS job_id, part, arg_max(event_type, (ts, event_id)) AS stage FROM alive GROUP BY ALL))
+WHERE before IS DISTINCT FROM stage""",
+        parts="""SELECT *, CAST(floor((epoch_us(ts) - a) * 4 / (z - a + 1)) AS INT) AS part FROM events,
+       (SELECT min(epoch_us(ts)) AS a, max(epoch_us(ts)) AS z FROM events) WHERE event_id % 97 <> 3""",
+        alive="""SELECT * FROM parts p WHERE NOT EXISTS (SELECT 1 FROM parts f WHERE f.user_id = p.user_id
+       AND f.event_type = 'signup' AND (f.ts, f.event_id) < (p.ts, p.event_id))""",
     ),
-    "run_extraction": oracle(
-        """SELECT episode_id, episode_id % 10 <> 7 AS success,
-       CASE WHEN episode_id % 10 = 7 THEN 'ValueError: refused key [REDACTED_GEMINI_KEY]' END AS error,
-       CASE WHEN episode_id % 10 <> 7 THEN split_part(text, ' ', 1) END AS content_text,
-       CASE WHEN episode_id % 10 <> 7 THEN length(text) // 4 ELSE 0 END AS input_tokens,
-       CASE WHEN episode_id % 10 <> 7 THEN 0.25 ELSE 0.0 END::DOUBLE AS cost_usd FROM transcripts""",
-        "transcripts",
+    "read_cut_feeds": oracle(
+        """SELECT page_id % 10 + 1 AS position, 'Talk ' || page_id AS title, url AS link
+FROM pages WHERE page_id // 10 % 2 = 0 AND page_id NOT IN (
+  SELECT max(page_id) FROM pages GROUP BY page_id // 10)"""
     ),
-    "run_transcription": oracle(
-        """SELECT episode_id, chunk, s AS seg_no, start_s, coalesce(lead(start_s) OVER (
-       PARTITION BY episode_id ORDER BY start_s, chunk, s) - start_s, 0.0) AS duration_s
-FROM (SELECT episode_id, seg_no AS chunk, x.s,
-             CAST(CASE x.s WHEN 0 THEN 40 ELSE 70 END + seg_no * 570 AS DOUBLE) AS start_s
-      FROM segments, (VALUES (0::BIGINT), (1)) AS x(s))""",
+    "read_texts": oracle(
+        """SELECT episode_id, sha256(string_agg(text, chr(10) ORDER BY seg_no) || chr(10)) AS text_hash
+FROM segments GROUP BY episode_id""",
         "segments",
     ),
-    "run_ocr": oracle(
-        f"""SELECT doc_id, CASE WHEN bool_or(page_no > 0) AND bool_or(page_no = 0 AND length(n) >= 20)
-       THEN 'hybrid' WHEN bool_or(page_no > 0 OR length(n) < 20) THEN 'ocr' ELSE 'selectable_text' END
-       AS method, count(*) AS page_count,
-       CAST(sum(CASE WHEN page_no = 0 AND length(n) >= 20 THEN length(n) ELSE length(w) END)
-         + 2 * (count(*) - 1) AS BIGINT) AS characters
-FROM (SELECT conv_id AS doc_id, turn AS page_no, {_strip('text')} AS n,
-             regexp_replace({_strip('text')}, '{_SP}+', ' ', 'g') AS w FROM conversations)
-GROUP BY doc_id"""
+    "audit_rejects": oracle(
+        """SELECT '{"timestamp": "broken ' || s_suppkey AS line, 'not JSON' AS reason FROM supplier
+WHERE s_suppkey % 9 = 0"""
+    ),
+    "read_notes": oracle(
+        """SELECT 'podcast=' || source AS podcast_dir, 'episode=' || doc_id AS episode_dir,
+       CASE WHEN doc_id % 2 = 0 THEN doc_id % 5 || '.0' ELSE 'unknown' END AS version,
+       sha256('# ' || text || chr(10)) AS content_hash FROM documents"""
     ),
-    "render_with": oracle(
-        "SELECT episode_id, template_name || '/' || episode_id AS text FROM results", "results"
+    "read_templates": oracle(
+        """SELECT CASE n_nationkey WHEN 3 THEN 'summary' ELSE lower(n_name) END AS name,
+       n_nationkey || '.1' AS version, CAST(n_nationkey AS INT) AS priority,
+       CASE WHEN n_nationkey % 2 = 0 THEN 'tech' END AS category, 2::INT AS required_fields,
+       2000::INT AS max_tokens FROM nation"""
     ),
 }

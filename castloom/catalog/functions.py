@@ -143,7 +143,7 @@ def truncate_url(spark, folder):
 
 
 def title_case(spark, folder):
-    name = F.concat(F.col("template_name"), F.lit("_and-more.md"))
+    name = F.concat(F.col("template_name"), F.lit("_and-more_what's 3rd o'clock.md"))
     return b.results(spark, folder).select("episode_id", t.title_case(name).alias("heading"))
 
 
@@ -402,8 +402,8 @@ FROM transcripts""",
         parts=f"SELECT source_id, {_HOST} AS h, {_PATH} AS p FROM sources",
     ),
     "title_case": oracle(
-        """SELECT episode_id, CASE template_name WHEN 'summary' THEN 'Summary And More'
-       WHEN 'quotes' THEN 'Quotes And More' ELSE 'Key Concepts And More' END AS heading
+        """SELECT episode_id, CASE template_name WHEN 'summary' THEN 'Summary And More What''S 3Rd O''Clock'
+       WHEN 'quotes' THEN 'Quotes And More What''S 3Rd O''Clock' ELSE 'Key Concepts And More What''S 3Rd O''Clock' END AS heading
 FROM results""",
         "results",
     ),

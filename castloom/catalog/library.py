@@ -44,6 +44,12 @@ def library_tables(spark, folder):
     return jobs.orderBy(F.col("created_at").desc(), "job_id").limit(20).select("job_id", "user_id")
 
 
+def library_rows(spark, folder):
+    """The same filter and projection without a limit."""
+    jobs = b.jobs(spark, folder).where("status = 'failed'")
+    return jobs.select("job_id", "user_id", "source_id")
+
+
 def _searchable(spark, folder):
     rows = lib.with_source(b.notes(spark, folder), _sources(spark, folder))
     return rows.select(
@@ -66,9 +72,9 @@ def search_recent(spark, folder):
 
 
 def sort_notes(spark, folder):
-    rows = b.notes(spark, folder)
-    newest = lib.sort_notes(rows).limit(40).select(F.lit("newest").alias("by"), "note_id")
-    titles = lib.sort_notes(rows, "title").limit(40).select(F.lit("title").alias("by"), "note_id")
+    rows = b.notes(spark, folder).drop("summary")
+    newest = lib.note_positions(rows).select(F.lit("newest").alias("by"), "position", "note_id")
+    titles = lib.note_positions(rows, "title").select(F.lit("title").alias("by"), "position", "note_id")
     return newest.unionByName(titles)
 
 
@@ -323,6 +329,7 @@ QUERIES = {
     "jobs_with_source": jobs_with_source,
     "job_note": job_note,
     "library_tables": library_tables,
+    "library_rows": library_rows,
     "search_notes": search_notes,
     "search_summaries": search_summaries,
     "search_recent": search_recent,
@@ -404,6 +411,9 @@ ORACLES = {
         "jobs",
         "notes",
     ),
+    "library_rows": oracle(
+        "SELECT job_id, user_id, source_id FROM jobs WHERE status = 'failed'", "jobs"
+    ),
     "library_tables": oracle(
         "SELECT job_id, user_id FROM jobs WHERE status = 'failed' ORDER BY created_at DESC, job_id LIMIT 20",
         "jobs",
@@ -424,8 +434,10 @@ ORACLES = {
         "SELECT note_id FROM notes ORDER BY created_at DESC, note_id LIMIT 5", "notes"
     ),
     "sort_notes": oracle(
-        """SELECT 'newest' AS by, note_id FROM (SELECT * FROM notes ORDER BY created_at DESC, note_id LIMIT 40)
-UNION ALL SELECT 'title', note_id FROM (SELECT * FROM notes ORDER BY title, note_id LIMIT 40)""",
+        """SELECT 'newest' AS by, row_number() OVER (ORDER BY created_at DESC, note_id) AS position, note_id
+FROM notes
+UNION ALL SELECT 'title', row_number() OVER (ORDER BY lower(strip_accents(title)),
+       title <> strip_accents(title), title <> lower(title), note_id), note_id FROM notes""",
         "notes",
     ),
     "open_jobs": oracle("SELECT job_id, status FROM jobs WHERE status <> 'succeeded'", "jobs"),

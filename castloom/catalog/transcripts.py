@@ -117,12 +117,17 @@ def merge_summaries(spark, folder):
 
 
 def _stamped(spark, folder, speaker):
-    """Segments written out as one stamped text per episode."""
-    rows = b.segments(spark, folder)
-    clock = F.format_string("[%02d:%02d] ", F.col("seg_no"), F.col("seg_no") * 7 % 60)
-    said = F.regexp_replace("text", ":", ";")
-    lines = rows.select("episode_id", "seg_no", F.concat(clock, F.lit(speaker), said).alias("text"))
-    return tr.full_text(lines, "\n")
+    """Whole documents written out as stamped texts, four words to a stamp."""
+    words = F.filter(F.split("text", r"(?U)\s+"), lambda w: w != "")
+    rows = b.transcripts(spark, folder).select(
+        "episode_id", F.posexplode(F.transform(words, lambda w: F.translate(w, ":[]", ";()"))).alias("no", "word")
+    )
+    lines = rows.groupBy("episode_id", F.floor(F.col("no") / 4).cast("bigint").alias("seg_no")).agg(
+        F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("no", "word"))), lambda x: x["word"]), " ").alias("said")
+    )
+    n = F.col("seg_no")
+    clock = F.format_string("[%02d:%02d:%02d] ", F.floor(n / 400), F.floor(n / 60) % 60, n % 60)
+    return tr.full_text(lines.select("episode_id", "seg_no", F.concat(clock, F.lit(speaker), "said").alias("text")), "\n")
 
 
 def parse_transcript(spark, folder):
@@ -159,6 +164,7 @@ def clip_plan(spark, folder):
         "episode_id",
         F.col("offset_s").cast("bigint").alias("offset_s"),
         F.col("end_s").cast("bigint").alias("end_s"),
+        "length_assumed",
     )
 
 
@@ -290,7 +296,16 @@ QUERIES = {
     "pick_captions": pick_captions,
 }
 
-_LINES = f"array_to_string(list_filter(list_transform(string_split(text, chr(10)), lambda l: {_strip('l')}), lambda l: l <> ''), ' ')"
+#: What ``_stamped`` writes: four words to a stamp, whose hours change every 400 stamps, so
+#: that stamps repeat and go back.
+_SAID = {
+    "words": f"""SELECT doc_id AS episode_id, list_filter(regexp_split_to_array(text, '{_SP}+'),
+       lambda w: w <> '') AS w FROM documents""",
+    "pieces": """SELECT episode_id, seg_no, array_to_string(w[4 * seg_no + 1 : 4 * seg_no + 4], ' ') AS piece
+FROM (SELECT *, unnest(range(0, (len(w) + 3) // 4)) AS seg_no FROM words)""",
+    "said": """SELECT episode_id, seg_no, translate(piece, ':[]', ';()') AS said,
+       CAST(seg_no // 400 * 3600 + seg_no // 60 % 60 * 60 + seg_no % 60 AS DOUBLE) AS start_s FROM pieces""",
+}
 
 
 def _normal(text: str) -> str:
@@ -367,21 +382,18 @@ FROM segments WHERE seg_no % 3 <> 1 GROUP BY episode_id""",
         "segments",
     ),
     "parse_transcript": oracle(
-        f"""SELECT episode_id, seg_no, sha256(printf('[%02d:%02d] Ann B: ', seg_no, seg_no * 7 % 60)
-       || {_strip("replace(text, ':', ';')")}) AS text_hash, start_s,
-       coalesce(lead(start_s) OVER (PARTITION BY episode_id ORDER BY seg_no) - start_s, 0.0)
-         AS duration_s
-FROM (SELECT episode_id, seg_no, text, CAST(seg_no * 60 + seg_no * 7 % 60 AS DOUBLE) AS start_s
-      FROM segments)""",
-        "segments",
+        """SELECT episode_id, row_number() OVER (PARTITION BY episode_id ORDER BY start_s, seg_no) - 1 AS seg_no,
+       sha256(printf('[%02d:%02d:%02d] Ann B: ', seg_no // 400, seg_no // 60 % 60, seg_no % 60) || said)
+         AS text_hash, start_s, duration_s
+FROM (SELECT *, coalesce(lead(start_s) OVER (PARTITION BY episode_id ORDER BY seg_no) - start_s, 0.0)
+        AS duration_s FROM said)""",
+        **_SAID,
     ),
     "parse_transcript_lines": oracle(
-        f"""SELECT episode_id, seg_no, sha256({_LINES}) AS text_hash, start_s,
+        """SELECT episode_id, seg_no, sha256(said) AS text_hash, start_s,
        coalesce(lead(start_s) OVER (PARTITION BY episode_id ORDER BY seg_no) - start_s, 0.0)
-         AS duration_s
-FROM (SELECT episode_id, seg_no, replace(text, ':', ';') AS text,
-             CAST(seg_no * 60 + seg_no * 7 % 60 AS DOUBLE) AS start_s FROM segments)""",
-        "segments",
+         AS duration_s FROM said""",
+        **_SAID,
     ),
     "text_as_transcript": oracle(
         f"""SELECT episode_id, CAST(0 AS BIGINT) AS seg_no, sha256({_strip('text')}) AS text_hash,
@@ -398,10 +410,11 @@ FROM (SELECT episode_id, d, unnest(range(0, CAST(floor((d - 30) / 570) AS BIGINT
         "transcripts",
     ),
     "clip_plan": oracle(
-        """SELECT episode_id, offset_s, least(offset_s + 300, d) AS end_s
-FROM (SELECT episode_id, d, unnest(range(0, d, 300)) AS offset_s FROM (
-  SELECT episode_id, CASE WHEN episode_id % 5 = 0 OR length(text) = 0 THEN 3600
-         ELSE least(3600, length(text)) END AS d FROM transcripts))""",
+        """SELECT episode_id, offset_s, least(offset_s + 300, d) AS end_s, length_assumed
+FROM (SELECT episode_id, d, length_assumed, unnest(range(0, d, 300)) AS offset_s FROM (
+  SELECT episode_id, episode_id % 5 = 0 OR length(text) = 0 AS length_assumed,
+         CASE WHEN episode_id % 5 = 0 OR length(text) = 0 THEN 3600 ELSE length(text) END AS d
+  FROM transcripts))""",
         "transcripts",
     ),
     "media_cost": oracle(

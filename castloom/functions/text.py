@@ -193,9 +193,18 @@ def truncate_url(url: Column, max_length: int = 50) -> Column:
 
 
 def title_case(filename: Column) -> Column:
-    """Heading of a file: the stem in title case, dashes and underscores as blanks."""
+    """Heading of a file: the stem in title case, dashes and underscores as blanks.
+
+    A letter after anything but a letter is a capital, also after a digit or an apostrophe.
+    """
     stem = F.regexp_replace(filename, r"(?<=.)\.[^.]+$", "")
-    return F.initcap(F.regexp_replace(stem, "[-_]", " "))
+    letter = r"[\p{Lu}\p{Ll}\p{Lt}]"
+    words = F.split(F.lower(F.regexp_replace(stem, "[-_]", " ")), rf"(?<!{letter})(?={letter})")
+    raised = F.transform(
+        words,
+        lambda w: F.concat(F.upper(F.substring(w, 1, 1)), w.substr(F.lit(2), F.length(w))),
+    )
+    return F.array_join(raised, "")
 
 
 #: Key shapes and what stands in for them.

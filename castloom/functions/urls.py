@@ -217,15 +217,14 @@ def normalize_url(url: Column) -> Column:
 
 def title_from_url(url: Column) -> Column:
     """Readable title from the last path part; null when it is empty or generic."""
-    last = F.regexp_extract(path(url), r"([^/]+)/*$", 1)
-    candidate = strip(decode(last, plus=False))
-    lowered = F.lower(candidate)
-    endings = "|".join(s.replace(".", r"\.") for s in TITLE_SUFFIXES)
-    stem = F.regexp_replace(candidate, f"(?i)(?:{endings})$", "")
-    spaced = F.regexp_replace(F.regexp_replace(stem, r"[-_+]", " "), r"(?U)[\s\x1c-\x1f]+", " ")
-    cleaned = F.regexp_replace(spaced, r"^[ .\-_]+|[ .\-_]+$", "")
-    generic = F.regexp_replace(F.lower(cleaned), "[^a-z0-9]+", "").isin(*GENERIC_TITLES)
-    return F.when((lowered != "") & (cleaned != "") & ~generic, cleaned)
+    name = strip(decode(F.regexp_extract(path(url), r"([^/]+)/*$", 1), plus=False))
+    ending = "|".join(s.replace(".", r"\.") for s in TITLE_SUFFIXES)
+    # What separates words, and a file ending, in one pass; then the blanks and dots around.
+    words = F.regexp_replace(
+        F.regexp_replace(name, rf"(?Ui)(?:{ending})$|[-_+\s\x1c-\x1f]+", " "), r"^[ .]+|[ .]+$", ""
+    )
+    letters = F.regexp_replace(F.lower(words), "[^a-z0-9]+", "")
+    return F.when((words != "") & ~letters.isin(*GENERIC_TITLES), words)
 
 
 def feed_name_base(channel_name: Column, feed_url: Column) -> Column:

@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from datetime import datetime
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from castloom.operators.ordered import running_sums
-from castloom.operators.rows import new_rows, small
+from castloom.operators.rows import new_rows
 
 #: Dollars per million tokens by provider and size of the input.
 PRICES = (
@@ -28,39 +29,37 @@ def prices(spark: SparkSession, rows=PRICES) -> DataFrame:
     return spark.createDataFrame(list(rows), _PRICE_SCHEMA)
 
 
-def price(usage: DataFrame, price_list: DataFrame) -> tuple[DataFrame, DataFrame]:
+#: Providers whose use costs nothing: captions, and what a local runtime manages itself.
+FREE = ("youtube", *LOCAL_RUNTIMES)
+
+
+def price(
+    usage: DataFrame, price_list: DataFrame, free: Sequence[str] = ()
+) -> tuple[DataFrame, DataFrame]:
     """Cost of each record by its provider's price row, and the records without one.
 
     The row is chosen by the whole input size: a long input is priced at the long rate
-    from its first token.
+    from its first token. Providers in ``free`` cost 0; any other one that the list does
+    not cover is a reject, never a free record.
     """
-    listed = small(price_list).alias("p")
-    provider = F.col("u.provider") == F.col("p.provider")
-    tokens = (F.col("u.input_tokens") >= F.col("p.min_tokens")) & (
-        F.col("p.max_tokens").isNull() | (F.col("u.input_tokens") < F.col("p.max_tokens"))
+    p = price_list.select(*(F.col(c).alias(f"_{c}") for c in price_list.columns))
+    match = (
+        (F.col("provider") == F.col("_provider"))
+        & (F.col("input_tokens") >= F.col("_min_tokens"))
+        & (F.col("_max_tokens").isNull() | (F.col("input_tokens") < F.col("_max_tokens")))
     )
-    cost = F.col("u.input_tokens") / 1e6 * F.col("p.input_price") + F.col(
-        "u.output_tokens"
-    ) / 1e6 * F.col("p.output_price")
-    used = usage.drop("cost_usd").alias("u")
-    priced = used.join(listed, provider & tokens).select("u.*", cost.alias("cost_usd"))
-    rejected = usage.join(small(price_list.select("provider").distinct()), "provider", "left_anti")
-    return priced, rejected
+    cost = F.col("input_tokens") / 1e6 * F.col("_input_price") + F.col(
+        "output_tokens"
+    ) / 1e6 * F.col("_output_price")
+    nothing = F.when(F.col("provider").isin(*free), 0.0) if free else F.lit(None).cast("double")
+    told = usage.drop("cost_usd").join(p, match, "left").withColumn("cost_usd", F.coalesce(cost, nothing))
+    told = told.drop(*p.columns)
+    return told.where("cost_usd IS NOT NULL"), told.where("cost_usd IS NULL").drop("cost_usd")
 
 
 def with_cost(usage: DataFrame, price_list: DataFrame) -> DataFrame:
-    """Ledger rows with a cost; providers outside the price list cost nothing here."""
-    listed = small(price_list).alias("p")
-    match = (
-        (F.col("u.provider") == F.col("p.provider"))
-        & (F.col("u.input_tokens") >= F.col("p.min_tokens"))
-        & (F.col("p.max_tokens").isNull() | (F.col("u.input_tokens") < F.col("p.max_tokens")))
-    )
-    cost = F.col("u.input_tokens") / 1e6 * F.col("p.input_price") + F.col(
-        "u.output_tokens"
-    ) / 1e6 * F.col("p.output_price")
-    joined = usage.drop("cost_usd").alias("u").join(listed, match, "left")
-    return joined.select("u.*", F.coalesce(cost, F.lit(0.0)).alias("cost_usd"))
+    """Ledger rows with a cost; ``price`` tells which rows are left out."""
+    return price(usage, price_list, FREE)[0]
 
 
 def filter_usage(
@@ -132,7 +131,7 @@ def top_episodes(usage: DataFrame, n: int = 10) -> DataFrame:
         .groupBy("episode_title")
         .agg(
             F.sum("cost_usd").alias("cost_usd"),
-            F.min(F.struct("used_at", "usage_id")).alias("_seen"),
+            F.min(F.struct("used_at", "position")).alias("_seen"),
         )
     )
     others = F.greatest(F.lit(0), F.count(F.lit(1)) - n).cast("bigint").alias("others")
@@ -141,8 +140,8 @@ def top_episodes(usage: DataFrame, n: int = 10) -> DataFrame:
 
 
 def recent_usage(usage: DataFrame, n: int = 10) -> DataFrame:
-    """The ``n`` newest rows, equal times in stored order."""
-    return usage.orderBy(F.col("used_at").desc(), F.col("usage_id").cast("bigint")).limit(n)
+    """The ``n`` newest rows, equal times in stored order (``position``)."""
+    return usage.orderBy(F.col("used_at").desc(), "position").limit(n)
 
 
 def recent_totals(usage: DataFrame, n: int = 10) -> DataFrame:
@@ -158,9 +157,9 @@ def recent_totals(usage: DataFrame, n: int = 10) -> DataFrame:
 def session_cost(usage: DataFrame, run_start: datetime | None = None, run: str | None = None):
     """Cost of a run after each of its records, from ``run_start`` on."""
     rows = usage.where(F.col("used_at") >= F.lit(run_start)) if run_start else usage
-    rows = rows.select(*([run] if run else []), "usage_id", "used_at", "cost_usd")
+    rows = rows.select(*([run] if run else []), "usage_id", "used_at", "position", "cost_usd")
     return running_sums(
-        rows, [run] if run else [], ["used_at", "usage_id"], {"session_cost_usd": F.col("cost_usd")}
+        rows, [run] if run else [], ["used_at", "position"], {"session_cost_usd": F.col("cost_usd")}
     )
 
 

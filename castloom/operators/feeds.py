@@ -13,8 +13,8 @@ from pyspark.sql.types import DoubleType
 
 from castloom.functions import urls
 from castloom.functions.text import fmt_duration, key_slug, strip
-from castloom.operators.ordered import positions
-from castloom.operators.rows import keep_first, keep_last, small
+from castloom.operators.ordered import positions, running_sums
+from castloom.operators.rows import keep_first, keep_last
 from castloom.session import shared_dir
 
 #: Fixed values.
@@ -247,13 +247,19 @@ def select_episodes(
     words = judged.where("_kind = 'keyword'").select(
         "selector_id", F.col("feed").alias("_feed"), F.lower("_text").alias("_word")
     )
-    titles = entries.select("feed", "position", F.lower(F.coalesce("title", F.lit(""))).alias("_t"))
+    # Each different word of a feed is looked for once, in each different title of it.
+    titles = entries.groupBy("feed", F.lower(F.coalesce("title", F.lit(""))).alias("_t")).agg(
+        F.min("position").alias("position")
+    )
     match = (F.col("feed") == F.col("_feed")) & F.contains(F.col("_t"), F.col("_word"))
-    hits = (
-        titles.join(small(words), match)
-        .groupBy("selector_id", "feed")
+    first = (
+        titles.join(words.select("_feed", "_word").distinct(), match)
+        .groupBy("_feed", "_word")
         .agg(F.min("position").alias("position"))
     )
+    hits = words.join(first, ["_feed", "_word"]).select(
+        "selector_id", F.col("_feed").alias("feed"), "position"
+    )
     by_word = hits.withColumn("ordinal", F.lit(0)).join(entries, ["feed", "position"])
     missed = words.join(hits.select("selector_id"), "selector_id", "left_anti").select(
         "selector_id", F.lit("no title matches").alias("reason")
@@ -269,43 +275,62 @@ def _fold(text: Column) -> Column:
     return F.lower(F.upper(text))
 
 
-#: Characters of a key, rare ones first, and stand-ins that sort in that order.
-_RARE_FIRST = "qzxjkvbpygfwmucldrhsnioate-0123456789"
-_SORTED = "".join(chr(ord("A") + i) for i in range(len(_RARE_FIRST)))
+def _edits(own: Column, other: Column) -> Column:
+    """Most characters outside the matching blocks of two close keys of these lengths.
 
+    Blocks of a ratio of r or more hold at least r / 2 of all characters.
+    """
+    return own + other - 2 * F.ceil(CLOSE_RATIO * (own + other) / 2 - 1e-9).cast("int")
 
-def _letters(text: Column) -> Column:
-    """Letters of a key, each numbered by its occurrence, in a fixed order, rarest first.
 
-    As sets these overlap by as many elements as the keys share letters.
-    """
-    chars = F.filter(F.split(F.translate(text, _RARE_FIRST, _SORTED), ""), lambda c: c != "")
-    numbered = F.transform(
-        chars,
-        lambda c, i: F.concat(
-            F.lpad(
-                (10_000 - F.size(F.filter(F.slice(chars, F.lit(1), i + 1), lambda x: x == c))).cast(
-                    "string"
-                ),
-                5,
-                "0",
-            ),
-            c,
-        ),
-    )
-    return F.array_sort(numbered)
+def _piece(i: Column, length: Column, edits: Column) -> Column:
+    """Start of piece ``i`` of a key cut into one piece more than it can have edits."""
+    return F.floor(i * length / (edits + 1)).cast("int")
+
+
+def _range(first: Column, last: Column) -> Column:
+    """The numbers from ``first`` to ``last``; none if the first is greater."""
+    none = F.array().cast("array<int>")
+    return F.when(first <= last, F.sequence(first.cast("int"), last.cast("int"))).otherwise(none)
 
 
-def _prefix(df: DataFrame, key: str) -> DataFrame:
-    """One row per letter that two close keys cannot both miss.
+def _pieces(df: DataFrame, key: str) -> DataFrame:
+    """The pieces of stored keys, for every number of edits that a close key may need.
 
-    A ratio of r needs at least r / (2 - r) of either key's letters in common, so of the
-    sorted letters the first ``length - needed + 1`` must share one with the other key's.
+    Each edit spoils one piece at most, so one of ``edits + 1`` pieces is left as it is.
     """
-    share = CLOSE_RATIO / (2 - CLOSE_RATIO)
-    needed = F.ceil(F.length(key) * share - 1e-9).cast("int")
-    kept = F.slice(_letters(F.col(key)), F.lit(1), F.length(key) - needed + 1)
-    return df.where(F.length(key) > 0).withColumn("_letter", F.explode(kept))
+    own = F.length(key)
+    most = F.floor(own * (2 - CLOSE_RATIO) / CLOSE_RATIO + 1e-9).cast("int")
+    rows = df.where(own > 0).select(
+        key, own.alias("_length"), F.explode(_range(F.lit(0), _edits(own, most))).alias("_edits")
+    )
+    rows = rows.select("*", F.explode(_range(F.lit(0), F.col("_edits"))).alias("_no"))
+    start = _piece(F.col("_no"), F.col("_length"), F.col("_edits"))
+    end = _piece(F.col("_no") + 1, F.col("_length"), F.col("_edits"))
+    return rows.select(key, "_length", "_edits", "_no", F.substring(key, start + 1, end - start).alias("_piece"))
+
+
+def _places(df: DataFrame, key: str) -> DataFrame:
+    """What a key holds where a piece of a close stored key of each length may stand."""
+    own = F.length(key)
+    low = F.ceil(own * CLOSE_RATIO / (2 - CLOSE_RATIO) - 1e-9)
+    high = F.floor(own * (2 - CLOSE_RATIO) / CLOSE_RATIO + 1e-9)
+    rows = df.where(own > 0).select(key, own.alias("_own"), F.explode(_range(low, high)).alias("_length"))
+    rows = rows.withColumn("_edits", _edits(F.col("_length"), F.col("_own"))).where("_edits >= 0")
+    rows = rows.select("*", F.explode(_range(F.lit(0), F.col("_edits"))).alias("_no"))
+    rows = rows.withColumns(
+        {
+            "_start": _piece(F.col("_no"), F.col("_length"), F.col("_edits")),
+            "_size": _piece(F.col("_no") + 1, F.col("_length"), F.col("_edits"))
+            - _piece(F.col("_no"), F.col("_length"), F.col("_edits")),
+        }
+    )
+    same = F.ceil(CLOSE_RATIO * (F.col("_own") + F.col("_length")) / 2 - 1e-9)
+    first = F.greatest(F.lit(0), F.col("_start") - (F.col("_length") - same))
+    last = F.least(F.col("_own") - F.col("_size"), F.col("_start") + (F.col("_own") - same))
+    rows = rows.select("*", F.explode(_range(first, last)).alias("_at"))
+    piece = F.substring(key, F.col("_at") + 1, F.col("_size"))
+    return rows.select(key, "_length", "_edits", "_no", piece.alias("_piece")).distinct()
 
 
 @F.pandas_udf(DoubleType())
@@ -317,6 +342,16 @@ def _ratios(frames: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series
         )
 
 
+def close_candidates(asked: DataFrame, stored: DataFrame) -> DataFrame:
+    """Pairs (_slug, _key) that may be close: they share a piece at a place it can have.
+
+    No close pair is missed, and unrelated names hardly ever meet; each side's rows grow
+    with the square of a name's length, never with the other side.
+    """
+    on = ["_length", "_edits", "_no", "_piece"]
+    return _places(asked, "_slug").join(_pieces(stored, "_key"), on).select("_slug", "_key").distinct()
+
+
 def resolve_feed(names: DataFrame, feeds: DataFrame) -> DataFrame:
     """Stored feed for each name (name_id, name), null when there is none.
 
@@ -346,14 +381,8 @@ def resolve_feed(names: DataFrame, feeds: DataFrame) -> DataFrame:
     exact = tried.join(table, ["rank", "key"]).groupBy("name").agg(F.min_by("feed", "rank").alias("feed"))
 
     rest = asked.join(exact, "name", "left_anti").select("_slug").distinct()
-    left = _prefix(rest, "_slug")
-    right = _prefix(by_slug.select(F.col("key").alias("_key")), "_key")
-    low, high = F.least(F.length("_slug"), F.length("_key")), F.length("_slug") + F.length("_key")
     near = (
-        left.join(right, "_letter")
-        .where(2.0 * low / high >= CLOSE_RATIO)
-        .select("_slug", "_key")
-        .distinct()
+        close_candidates(rest, by_slug.select(F.col("key").alias("_key")))
         .withColumn("_ratio", _ratios("_key", "_slug"))
         .where(F.col("_ratio") >= CLOSE_RATIO)
     )
@@ -413,7 +442,7 @@ def unique_names(
         rows = rows.unionByName(old)
     numbered = positions(rows, ["_base"], ["_at"], "_k").checkpoint()
     bases = numbered.groupBy("_base").agg(F.min("_at").alias("_first"), F.max("_k").alias("_count"))
-    split = r"^(.+)-([1-9][0-9]{0,8})$"
+    split = r"^(.+)-([1-9][0-9]{0,17})$"
     children = bases.select(
         F.col("_base").alias("_child"),
         F.col("_first"),
@@ -426,20 +455,21 @@ def unique_names(
     if not meetings.isEmpty():
         lost, skipped = _settle(meetings, numbered)
         late = lost.select(F.col("_child").alias("_base"), F.lit(1).cast("bigint").alias("_late"))
-        holes = skipped.groupBy(F.col("_parent").alias("_base")).agg(
-            F.array_sort(F.collect_list("_n")).alias("_holes")
+        shifted = numbered.join(late, "_base", "left").withColumn(
+            "_n", F.col("_k") + F.coalesce("_late", F.lit(0))
         )
-        start = F.col("_k") + F.coalesce("_late", F.lit(0))
-        step = F.aggregate(
-            F.coalesce("_holes", F.array().cast("array<bigint>")),
-            start,
-            lambda n, hole: F.when(hole <= n, n + 1).otherwise(n),
+        # The i-th number that is skipped shifts every row that would reach it after i - 1.
+        holes = positions(skipped.select(F.col("_parent").alias("_base"), "_n"), ["_base"], ["_n"], "_i")
+        steps = shifted.select("_base", "_at", "_n", F.lit(1).alias("_row")).unionByName(
+            holes.select(
+                "_base", F.lit(None).cast(shifted.schema["_at"].dataType).alias("_at"),
+                (F.col("_n") - F.col("_i") + 1).alias("_n"), F.lit(0).alias("_row"),
+            )
         )
-        final = (
-            numbered.join(late, "_base", "left")
-            .join(holes, "_base", "left")
-            .withColumn("_n", step)
+        passed = running_sums(
+            steps, ["_base"], ["_n", "_row", "_at"], {"_holes": (1 - F.col("_row")).cast("bigint")}
         )
+        final = passed.where("_row = 1").withColumn("_n", F.col("_n") + F.col("_holes"))
     named = final.select(
         F.col("_base"),
         F.col("_at"),
@@ -455,7 +485,11 @@ def unique_names(
 
 
 def _settle(meetings: DataFrame, numbered: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Children that lose their own name, and the numbers that parents skip."""
+    """Children that lose their own name, and the numbers that parents skip.
+
+    A name with k suffixes is settled after its parents, so rounds are bounded by the
+    deepest nesting of suffixes among the meeting names.
+    """
     turns = numbered.join(
         meetings.select(F.col("_parent").alias("_base")).distinct(), "_base", "left_semi"
     ).select(F.col("_base").alias("_parent"), F.col("_k"), F.col("_at").alias("_taken"))
@@ -465,17 +499,11 @@ def _settle(meetings: DataFrame, numbered: DataFrame) -> tuple[DataFrame, DataFr
         late = state.where("_parent_takes").select(
             F.col("_child").alias("_parent"), F.lit(1).cast("bigint").alias("_late")
         )
-        free = state.where("NOT _parent_takes").select(
-            F.col("_parent").alias("_fp"), F.col("_n").alias("_fn")
-        )
-        below = (
-            state.join(free, (F.col("_fp") == F.col("_parent")) & (F.col("_fn") < F.col("_n")))
-            .groupBy("_child")
-            .agg(F.count(F.lit(1)).alias("_below"))
-        )
-        turn = F.col("_n") - F.coalesce("_late", F.lit(0)) - F.coalesce("_below", F.lit(0))
-        asked = (
-            state.join(late, "_parent", "left").join(below, "_child", "left").withColumn("_k", turn)
+        free = (~F.col("_parent_takes")).cast("bigint")
+        counted = running_sums(state, ["_parent"], ["_n"], {"_upto": free})
+        below = F.col("_upto") - free
+        asked = counted.join(late, "_parent", "left").withColumn(
+            "_k", F.col("_n") - F.coalesce("_late", F.lit(0)) - below
         )
         judged = asked.join(turns, ["_parent", "_k"], "left").select(
             "_parent", "_child", "_n", "_first", "_count",

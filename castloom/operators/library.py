@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from castloom.functions.documents import body_of
 from castloom.functions.text import megabytes, strip, title_case, truncate_words
-from castloom.operators.ordered import neighbour
+from castloom.operators.ordered import neighbour, positions
 from castloom.operators.rows import new_rows
 
 #: Fixed values.
@@ -57,12 +57,21 @@ def search_notes(notes: DataFrame, needle: str = "", mode: str = "all") -> DataF
     return sort_notes(notes).limit(RECENT) if mode == "recent" else notes
 
 
+def _note_order(key: str) -> Column:
+    if key == "title":
+        return F.collate("title", "UNICODE")
+    return -F.unix_micros("updated_at" if key == "updated" else "created_at")
+
+
 def sort_notes(notes: DataFrame, key: str = "newest") -> DataFrame:
     """Newest or last updated first, or by title in Unicode order."""
-    if key == "title":
-        return notes.orderBy(F.collate("title", "UNICODE"), "note_id")
-    column = "updated_at" if key == "updated" else "created_at"
-    return notes.orderBy(F.col(column).desc(), "note_id")
+    return notes.orderBy(_note_order(key), "note_id")
+
+
+def note_positions(notes: DataFrame, key: str = "newest") -> DataFrame:
+    """The place of each note in that order, from 1 on, without sorting into one task."""
+    keyed = notes.withColumn("_order", _note_order(key))
+    return positions(keyed, [], ["_order", "note_id"]).drop("_order")
 
 
 def open_jobs(jobs: DataFrame) -> DataFrame:

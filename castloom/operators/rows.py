@@ -7,31 +7,26 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Broadcast sides are dimension tables; beyond this many rows Spark joins by shuffle.
-BROADCAST_ROWS = 50_000
-
-
-def small(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
-    """Hint a broadcast only after checking that the table has at most ``limit`` rows."""
-    return F.broadcast(df) if df.limit(limit + 1).count() <= limit else df
-
-
 def keep_first(df: DataFrame, keys: Sequence[str], order: Sequence[str | Column]) -> DataFrame:
     """One row per key, the first in ``order``.
 
     An aggregate rather than a window: each task keeps one candidate per key, so a key
-    with very many rows costs no more than any other.
+    with very many rows costs no more than any other. The keys travel once.
     """
-    rank = F.struct(*order)
-    rows = df.groupBy(*keys).agg(F.min_by(F.struct(*df.columns), rank).alias("_row"))
-    return rows.select("_row.*")
+    return _chosen(df, keys, F.min_by, F.struct(*order))
 
 
 def keep_last(df: DataFrame, keys: Sequence[str], order: Sequence[str | Column]) -> DataFrame:
     """One row per key, the last in ``order``."""
-    rank = F.struct(*order)
-    rows = df.groupBy(*keys).agg(F.max_by(F.struct(*df.columns), rank).alias("_row"))
-    return rows.select("_row.*")
+    return _chosen(df, keys, F.max_by, F.struct(*order))
+
+
+def _chosen(df: DataFrame, keys: Sequence[str], pick, rank: Column) -> DataFrame:
+    others = [c for c in df.columns if c not in keys]
+    if not others:
+        return df.distinct()
+    rows = df.groupBy(*keys).agg(pick(F.struct(*others), rank).alias("_row"))
+    return rows.select(*(F.col(c) if c in keys else F.col("_row")[c].alias(c) for c in df.columns))
 
 
 def new_rows(rows: DataFrame, known: DataFrame, key: str | Sequence[str]) -> DataFrame:

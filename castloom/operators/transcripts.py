@@ -13,7 +13,7 @@ from castloom.operators.rows import keep_first, validate
 
 #: Fixed values, in seconds.
 CHUNK_S, OVERLAP_S, CHUNKING_FROM_S = 600, 30, 900
-CLIP_S, CLIPPED_MAX_S = 300, 3600
+CLIP_S, ASSUMED_S = 300, 3600
 #: Readable page length and OCR confidence below which a page is weak.
 SELECTABLE_MIN_CHARACTERS, OCR_MIN_CONFIDENCE = 20, 30.0
 MEDIA_DOLLARS_PER_MB = 0.000125
@@ -179,17 +179,21 @@ def _stamp_seconds(stamp: Column) -> Column:
     return F.when(F.size(parts) == 3, long).otherwise(parts[0] * 60 + parts[1]).cast("double")
 
 
+def _with_next(items: Column) -> Column:
+    """Pairs of each element and the one behind it (null at the end), for lambdas that look
+    ahead: a lambda that indexed the array itself would compute it anew for every element."""
+    return F.arrays_zip(items, F.slice(items, F.lit(2), F.greatest(F.size(items), F.lit(1)) - 1))
+
+
 def _with_gaps(turns: Column) -> Column:
     """Number structs of (text, start_s) and set each duration to the next start's gap."""
     return F.transform(
-        turns,
+        _with_next(turns),
         lambda s, i: F.struct(
             i.alias("seg_no"),
-            s["text"].alias("text"),
-            s["start_s"].alias("start_s"),
-            F.coalesce(F.get(turns, i + 1)["start_s"] - s["start_s"], F.lit(0.0)).alias(
-                "duration_s"
-            ),
+            s["0"]["text"].alias("text"),
+            s["0"]["start_s"].alias("start_s"),
+            F.coalesce(s["1"]["start_s"] - s["0"]["start_s"], F.lit(0.0)).alias("duration_s"),
         ),
     )
 
@@ -207,21 +211,23 @@ def transcript_turns(text: Column) -> Column:
     one segment at 0.
     """
     whole = strip(text)
-    stamps = F.regexp_extract_all(whole, F.lit(_TURN), F.lit(1))
-    speakers = F.regexp_extract_all(whole, F.lit(_TURN), F.lit(2))
     said = F.split(whole, _TURN)
+    openings = F.arrays_zip(
+        F.regexp_extract_all(whole, F.lit(_TURN), F.lit(1)),
+        F.regexp_extract_all(whole, F.lit(_TURN), F.lit(2)),
+        F.slice(said, F.lit(2), F.size(said)),
+    )
     runs = F.transform(
-        stamps,
-        lambda stamp, i: F.struct(
+        openings,
+        lambda o: F.struct(
             F.concat(
-                F.lit("["), stamp, F.lit("] "), strip(F.get(speakers, i)), F.lit(": "),
-                strip(F.get(said, i + 1)),
+                F.lit("["), o["0"], F.lit("] "), strip(o["1"]), F.lit(": "), strip(o["2"])
             ).alias("text"),
-            _stamp_seconds(stamp).alias("start_s"),
+            _stamp_seconds(o["0"]).alias("start_s"),
         ),
     )
     alone = F.array(F.struct(whole.alias("text"), F.lit(0.0).alias("start_s")))
-    timed = _with_gaps(F.when(F.size(stamps) > 0, runs).otherwise(alone))
+    timed = _with_gaps(F.when(F.regexp_like(whole, F.lit(_TURN)), runs).otherwise(alone))
     # Stamps out of order: the transcript is sorted after durations are set, as a stable sort.
     return F.transform(
         F.array_sort(
@@ -312,15 +318,25 @@ def chunk_plan(
     )
 
 
-def clip_plan(df: DataFrame, duration: str = "duration_s") -> DataFrame:
-    """Adjacent clips of the first hour; an unknown length counts as an hour."""
-    length = F.least(
-        F.coalesce(F.nullif(F.col(duration).cast("int"), F.lit(0)), F.lit(CLIPPED_MAX_S)),
-        F.lit(CLIPPED_MAX_S),
-    )
-    starts = F.sequence(F.lit(0), length - 1, F.lit(CLIP_S))
-    rows = df.withColumn("offset_s", F.explode(starts))
-    return rows.withColumn("end_s", F.least(F.col("offset_s") + CLIP_S, length))
+def clip_plan(
+    df: DataFrame, duration: str = "duration_s", most_s: int | None = None, assumed_s: int = ASSUMED_S
+) -> DataFrame:
+    """Adjacent clips of the whole recording.
+
+    An unknown length counts as ``assumed_s``, and ``length_assumed`` says so. ``most_s``
+    plans only that much of a recording; ``rest_s`` tells what it leaves out.
+    """
+    known = F.nullif(F.col(duration).cast("int"), F.lit(0))
+    length = F.coalesce(known, F.lit(assumed_s))
+    planned = length if most_s is None else F.least(length, F.lit(most_s))
+    rows = df.withColumns(
+        {
+            "offset_s": F.explode(F.sequence(F.lit(0), planned - 1, F.lit(CLIP_S))),
+            "length_assumed": known.isNull(),
+            "rest_s": length - planned,
+        }
+    )
+    return rows.withColumn("end_s", F.least(F.col("offset_s") + CLIP_S, planned))
 
 
 def media_cost(size_bytes: Column) -> Column:

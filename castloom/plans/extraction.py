@@ -14,7 +14,6 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from castloom.functions.text import content_key, count_tokens, est_tokens
-from castloom.operators.rows import small
 from castloom.plans.prompts import prompt_chars
 
 #: Fixed values.
@@ -98,7 +97,7 @@ def plan_templates(
     """
     none = F.array().cast("array<string>")
     custom = F.col("custom_templates") if "custom_templates" in transcripts.columns else none
-    choices = small(category_choices(templates))
+    choices = category_choices(templates)
     asked = transcripts.join(choices, F.col("category") == F.col("choice"), "left").withColumn(
         "_names",
         F.array_distinct(
@@ -114,7 +113,7 @@ def plan_templates(
     known = templates.select(
         F.col("name").alias("template_name"), F.col("version").alias("template_version"), "priority"
     )
-    return named.join(small(known), "template_name")
+    return named.join(known, "template_name")
 
 
 def stale_templates(work: DataFrame, stored: DataFrame, keep_fresh: bool = False) -> DataFrame:
@@ -169,12 +168,12 @@ def template_routes(
             F.concat(F.array_compact(F.array(wish)), F.when(quotes | strict, accurate).otherwise(usual))
         )
     tried = templates.select(F.col("name").alias("template_name"), F.posexplode(order).alias("route_rank", "provider"))
-    return tried.join(small(providers), "provider")
+    return tried.join(providers, "provider")
 
 
 def route(work: DataFrame, routes: DataFrame, keep_unrouted: bool = False) -> DataFrame:
     """One row per provider that can hold the prompt (``prompt_tokens``), best rank first."""
-    r = small(routes).alias("r")
+    r = routes.alias("r")
     fits = (F.col("w.template_name") == F.col("r.template_name")) & (
         F.col("r.max_input_tokens").isNull()
         | (F.col("w.prompt_tokens") <= F.col("r.max_input_tokens"))
@@ -279,7 +278,7 @@ def plan_extraction(
         F.sha2(F.to_json(F.struct("system_prompt", "user_prompt", "expected_format",
                                   "output_schema", "max_tokens", "temperature", "examples")), 256).alias("_prompt_hash"),
     )
-    sized = chosen.join(small(sizes), "template_name")
+    sized = chosen.join(sizes, "template_name")
     estimate = F.greatest(
         F.lit(1), F.floor((F.col("_system") + prompt_chars(F.col("_user"), F.col("chars"))) / 4)
     ) + F.col("max_tokens")

@@ -35,9 +35,9 @@ def fill(template: Column, fields: Mapping[str, Column]) -> Column:
     marks = F.regexp_extract_all(text, F.lit(_MARK), F.lit(1))
     between = F.split(text, _MARK)
     filled = F.transform(
-        between,
-        lambda piece, i: F.concat(
-            piece, F.coalesce(F.try_element_at(values, F.coalesce(F.get(marks, i), F.lit(""))), F.lit(""))
+        F.arrays_zip(between, marks),
+        lambda p: F.concat(
+            p["0"], F.coalesce(F.try_element_at(values, F.coalesce(p["1"], F.lit(""))), F.lit(""))
         ),
     )
     return F.array_join(filled, "")

@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
+import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 RUNTIME_SETTINGS = {
     "spark.sql.session.timeZone": "UTC",
@@ -30,14 +35,33 @@ def shared_dir(spark: SparkSession) -> str:
     """Folder that every executor can reach, for checkpoints and staged tables.
 
     The cluster names it in ``spark.checkpoint.dir``. Only a local session, where the
-    driver is the only executor, falls back to a temporary folder.
+    driver is the only executor, falls back to a temporary folder, deleted at its end.
     """
     context = spark.sparkContext
     folder = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
     if not folder:
-        if not context.master.startswith("local"):
+        if context.master != "local" and not context.master.startswith("local["):
             raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
         folder = tempfile.mkdtemp(prefix="castloom-")
+        atexit.register(shutil.rmtree, folder, ignore_errors=True)
     if not context.getCheckpointDir():
         context.setCheckpointDir(folder)
     return folder
+
+
+def delete(spark: SparkSession, path: str) -> None:
+    """Delete a folder of the shared storage."""
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
+
+
+@contextmanager
+def staged(df: DataFrame) -> Iterator[DataFrame]:
+    """The rows written down in the shared folder, deleted when the block ends."""
+    spark = df.sparkSession
+    path = f"{shared_dir(spark)}/staged-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    try:
+        yield spark.read.schema(df.schema).parquet(path)
+    finally:
+        delete(spark, path)

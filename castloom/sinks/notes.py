@@ -9,7 +9,7 @@ from pyspark.errors import AnalysisException
 from castloom.functions.documents import front_matter, render
 from castloom.functions.text import episode_directory, path_part
 from castloom.operators.rows import new_rows
-from castloom.session import shared_dir
+from castloom.session import staged
 
 _EPISODE = ["podcast_slug", "episode_slug"]
 
@@ -64,40 +64,40 @@ def read_note_table(spark: SparkSession, path: str) -> DataFrame | None:
         raise
 
 
-def write_notes(notes: DataFrame, path: str, overwrite: bool = False) -> None:
-    """Store note rows by podcast; an episode already there is an error unless overwritten.
+#: Folders that a podcast's episodes are dealt to; replacing an episode rewrites one of them.
+BUCKETS = 16
+_PLACE = ["podcast_slug", "bucket"]
 
-    New episodes are appended. Overwriting rewrites only the podcasts concerned, from a
-    checkpoint, because a table cannot be read and replaced in one step.
+
+def write_notes(notes: DataFrame, path: str, overwrite: bool = False, buckets: int = BUCKETS) -> None:
+    """Store note rows by podcast and bucket; an episode already there is an error unless
+    overwritten.
+
+    One commit: the folders that get new rows are written anew, with what stays of them, and
+    take the place of the old ones together. One file per folder.
     """
     spark = notes.sparkSession
-    shared_dir(spark)
     if notes.where("podcast_slug IS NULL OR episode_slug IS NULL").limit(1).count():
         raise ValueError("an episode directory is empty")
+    bucket = F.pmod(F.xxhash64("episode_slug"), F.lit(buckets)).cast("int")
+    notes = notes.withColumn("bucket", bucket)
     existing = read_note_table(spark, path)
     if existing is None:
-        notes.write.partitionBy("podcast_slug").parquet(path)
+        notes.repartition(*_PLACE).write.partitionBy(*_PLACE).parquet(path)
         return
-    clash = existing.join(notes.select(*_EPISODE), _EPISODE, "left_semi").select(*_EPISODE).distinct()
-    clash = clash.checkpoint()
-    if clash.isEmpty():
-        notes.write.mode("append").partitionBy("podcast_slug").parquet(path)
-        return
-    if not overwrite:
-        first = clash.first()
+    clash = existing.join(notes.select(*_EPISODE), _EPISODE, "left_semi").select(*_EPISODE)
+    if not overwrite and (first := clash.first()):
         raise FileExistsError(f"episode exists: {first['podcast_slug']}/{first['episode_slug']}")
-    podcasts = clash.select("podcast_slug").distinct()
-    kept = new_rows(existing.join(podcasts, "podcast_slug", "left_semi"), clash, _EPISODE)
-    replaced = notes.join(podcasts, "podcast_slug", "left_semi")
-    merged = kept.unionByName(replaced.select(*kept.columns)).checkpoint()
-    others = new_rows(notes, podcasts, "podcast_slug").checkpoint()
-    (
-        merged.write.mode("overwrite")
-        .option("partitionOverwriteMode", "dynamic")
-        .partitionBy("podcast_slug")
-        .parquet(path)
-    )
-    others.write.mode("append").partitionBy("podcast_slug").parquet(path)
+    touched = existing.join(notes.select(*_PLACE).distinct(), _PLACE, "left_semi")
+    kept = new_rows(touched, notes.select(*_EPISODE), _EPISODE)
+    with staged(kept.unionByName(notes.select(*kept.columns))) as merged:
+        (
+            merged.repartition(*_PLACE)
+            .write.mode("overwrite")
+            .option("partitionOverwriteMode", "dynamic")
+            .partitionBy(*_PLACE)
+            .parquet(path)
+        )
 
 
 def append_audit(changes: DataFrame, path: str, at, user: str = "unknown") -> None:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from castloom.operators.ordered import positions
+
 _ITEM = (
     "title string, link string, guid string, pubDate string, description string, "
     "`content:encoded` string, enclosure array<struct<_url string, _type string>>, "
@@ -115,18 +117,21 @@ def read_feeds(spark: SparkSession, paths: str | list[str]) -> DataFrame:
 def read_cut_feeds(spark: SparkSession, paths: str | list[str]) -> DataFrame:
     """Entries of RSS documents that end early and give no entry in ``read_feeds``.
 
-    Such a document, and its last item, read as rows of nulls. Only whole items are kept. Their order is that of the file as long as it is read in
-    one piece, so the position is a row's place within its block.
+    Such a document, and its last item, read as rows of nulls. Only whole items are kept.
+    They are numbered in the order of the file: rows of a split rise within it, and splits of
+    a file are told apart by where they start.
     """
     read = _read(spark, paths, "channel", "title string, item array<struct<title string>>")
     whole = read.where("title IS NOT NULL OR item IS NOT NULL").select("file").distinct()
     items = (
         _read(spark, paths, "item", _ITEM)
         .where("coalesce(title, link, guid, pubDate, description) IS NOT NULL OR enclosure IS NOT NULL")
-        .withColumn("at", F.monotonically_increasing_id())
+        .withColumn("row", F.monotonically_increasing_id())
+        .withColumn("block", F.expr("input_file_block_start()"))
     )
     cut = items.join(whole, "file", "left_anti")
-    packed = cut.select("file", "at", F.struct(*[f"`{c}`" for c in items.columns if c not in ("file", "at")]).alias("i"))
+    cut = positions(cut, ["file"], ["block", "row"], "at").drop("block", "row")
+    packed = cut.select("file", "at", F.struct(*[f"`{c}`" for c in cut.columns if c not in ("file", "at")]).alias("i"))
     return packed.select(
         F.lit(None).cast("string").alias("feed"), "file", F.col("at").alias("position"), *_rss_entry("i")
     )

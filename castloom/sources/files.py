@@ -35,22 +35,34 @@ def read_texts(spark: SparkSession, paths: str | list[str]) -> tuple[DataFrame,
     return validate(files, {"not UTF-8": valid, "empty": ~valid | ~blank(F.col("text"))})
 
 
+def _ledger_files(spark: SparkSession, paths: str | list[str]) -> DataFrame:
+    rows = F.from_json("value", f"array<struct<{_fields(USAGE)}>>").alias("rows")
+    return spark.read.text(paths, wholetext=True).select(
+        F.col("_metadata.file_name").alias("_file"), rows, F.col("_metadata.file_path").alias("file")
+    )
+
+
+def unread_usage(spark: SparkSession, paths: str | list[str]) -> DataFrame:
+    """(file, reason) of ledger files that are no JSON array, of which no row is read."""
+    bad = _ledger_files(spark, paths).where("rows IS NULL")
+    return bad.select("file", F.lit("not a JSON array").alias("reason"))
+
+
 def read_usage(spark: SparkSession, paths: str | list[str]) -> DataFrame:
-    """Ledger rows from files that each hold one JSON array.
+    """Ledger rows from files that each hold one JSON array; ``unread_usage`` has the others.
 
     A missing id is made from the row and its place in the file, so reading the file again
-    gives the same id. A naive time is UTC, an absent total is the sum of both counts.
+    gives the same id. ``position`` sorts rows as they are stored. A naive time is UTC, an
+    absent total is the sum of both counts.
     """
-    files = spark.read.text(paths, wholetext=True).select(
-        F.col("_metadata.file_name").alias("_file"), F.from_json("value", f"array<struct<{_fields(USAGE)}>>").alias("rows")
-    )
-    rows = files.select("_file", F.posexplode("rows").alias("_no", "r"))
+    rows = _ledger_files(spark, paths).select("_file", F.posexplode("rows").alias("_no", "r"))
     made = F.sha2(F.concat_ws("|", F.to_json("r"), "_file", "_no"), 256)
     r = F.col("r")
     zero = F.lit(0).cast("bigint")
     both = F.coalesce(r["input_tokens"], zero) + F.coalesce(r["output_tokens"], zero)
     return rows.select(
         F.coalesce(r["usage_id"], made).alias("usage_id"),
+        F.concat("_file", F.lit("#"), F.lpad(F.col("_no").cast("string"), 10, "0")).alias("position"),
         r["provider"].alias("provider"),
         r["model"].alias("model"),
         r["operation"].alias("operation"),
@@ -70,12 +82,18 @@ def _fields(ddl: str) -> str:
     return ", ".join(": ".join(part.strip().split(" ", 1)) for part in ddl.split(","))
 
 
-def read_audit(spark: SparkSession, paths: str | list[str]) -> DataFrame:
-    """Audit rows from JSON lines, details as JSON text; lines that do not parse are skipped."""
-    return spark.read.schema(AUDIT).option("mode", "DROPMALFORMED").json(paths)
+def read_audit(spark: SparkSession, paths: str | list[str]) -> tuple[DataFrame, DataFrame]:
+    """Audit rows from JSON lines, details as JSON text, and the lines that do not parse."""
+    parsed = F.from_json("value", f"{AUDIT}, line string", {"columnNameOfCorruptRecord": "line"})
+    rows = spark.read.text(paths).where("value <> ''").select("value", parsed.alias("r"))
+    broken = F.col("r.line").isNotNull() | F.col("r").isNull()
+    bad = rows.where(broken).select(F.col("value").alias("line"), F.lit("not JSON").alias("reason"))
+    return rows.where(~broken).select("r.*").drop("line"), bad
 
 
-def read_notes(spark: SparkSession, folder: str, meta: DataFrame | None = None) -> DataFrame:
+def read_notes(
+    spark: SparkSession, folder: str, meta: DataFrame | None = None, pattern: str = "*.md"
+) -> DataFrame:
     """Markdown notes under ``folder/podcast/episode/``, one row per file.
 
     ``meta`` (podcast_dir, episode_dir, templates_versions) names the directories that are
@@ -85,7 +103,7 @@ def read_notes(spark: SparkSession, folder: str, meta: DataFrame | None = None)
     parts = F.split(F.col("_metadata.file_path"), "/")
     files = (
         spark.read.option("recursiveFileLookup", "true")
-        .option("pathGlobFilter", "*.md")
+        .option("pathGlobFilter", pattern)
         .text(folder, wholetext=True)
         .select(
             F.element_at(parts, -3).alias("podcast_dir"),

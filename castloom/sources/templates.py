@@ -1,4 +1,4 @@
-"""Extraction templates from YAML files: a small dimension, read on the driver."""
+"""Extraction templates from YAML files: a small dimension, parsed by the driver."""
 
 from __future__ import annotations
 
@@ -7,9 +7,13 @@ from pathlib import Path
 
 import yaml
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 BUILTIN = Path(__file__).resolve().parent.parent / "plans" / "builtin"
 
+#: Templates are a dimension: more files than this are taken for a mistake.
+MOST_FILES = 10_000
+
 SCHEMA = (
     "name string, version string, description string, system_prompt string, "
     "user_prompt string, expected_format string, output_schema string, required_fields int, "
@@ -32,8 +36,8 @@ def examples_text(examples: list[dict]) -> str:
     return text
 
 
-def _row(file: Path) -> tuple:
-    data = yaml.safe_load(file.read_text(encoding="utf-8"))
+def _row(text: str) -> tuple:
+    data = yaml.safe_load(text)
     schema = data.get("output_schema")
     return (
         data["name"],
@@ -54,15 +58,28 @@ def _row(file: Path) -> tuple:
     )
 
 
-def read_templates(spark: SparkSession, *folders: str | Path) -> DataFrame:
+def _texts(spark: SparkSession, folder: str, pattern: str) -> list[str]:
+    """The files of a folder in the order of their paths, at most MOST_FILES."""
+    files = (
+        spark.read.option("recursiveFileLookup", "true")
+        .option("pathGlobFilter", pattern)
+        .text(folder, wholetext=True)
+        .select(F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_name").alias("name"), "value")
+    )
+    rows = files.where("name <> 'schema.yaml'").orderBy("path").limit(MOST_FILES + 1).collect()
+    if len(rows) > MOST_FILES:
+        raise ValueError(f"more than {MOST_FILES} template files in {folder}")
+    return [r["value"] for r in rows]
+
+
+def read_templates(spark: SparkSession, *folders: str | Path, pattern: str = "*.yaml") -> DataFrame:
     """Templates of all folders and their subfolders; an earlier folder shadows later ones.
 
-    The built-in folder always comes last.
+    Folders may lie in any storage Spark reads. The built-in folder always comes last.
     """
+    texts = [t for folder in folders for t in _texts(spark, str(folder), pattern)]
+    texts += [f.read_text(encoding="utf-8") for f in sorted(BUILTIN.rglob("*.yaml"))]
     found: dict[str, tuple] = {}
-    for folder in (*folders, BUILTIN):
-        for file in sorted(Path(folder).rglob("*.yaml")):
-            if file.name != "schema.yaml":
-                row = _row(file)
-                found.setdefault(row[0], row)
+    for row in map(_row, texts):
+        found.setdefault(row[0], row)
     return spark.createDataFrame(list(found.values()), SCHEMA)

@@ -1,14 +1,21 @@
-"""The append logs as streams: usage ledger, costs in time windows, job states."""
+"""The append logs as streams: usage ledger, costs in time windows, job states.
+
+A watermark bounds what a stream remembers, so rows later than it are not in its output. They
+are not lost: ``late_usage`` finds them in what was received, and ``with_late_costs`` adds
+them to the windows.
+"""
 
 from __future__ import annotations
 
 import uuid
+from collections.abc import Iterator
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from castloom.operators.ordered import neighbour
-from castloom.operators.rows import keep_last
+from castloom.operators.rows import keep_last, new_rows
 from castloom.session import shared_dir
 
 FINAL = ("succeeded", "failed", "cancelled")
@@ -17,19 +24,21 @@ FINAL = ("succeeded", "failed", "cancelled")
 def stream_usage(usage: DataFrame, watermark: str = "1 hour") -> DataFrame:
     """Ledger stream with one row per usage id.
 
-    Ids are remembered for as long as the watermark allows; rows later than that are
-    dropped, as are repeats.
+    Ids are remembered for as long as the watermark allows; rows later than that go to
+    ``late_usage``.
     """
     return usage.withWatermark("used_at", watermark).dropDuplicatesWithinWatermark(["usage_id"])
 
 
-def stream_costs(
-    usage: DataFrame, width: str = "1 hour", slide: str | None = None, watermark: str = "1 hour"
-) -> DataFrame:
-    """Cost and tokens per provider in tumbling or sliding windows of the time of use."""
+def late_usage(received: DataFrame, ledger: DataFrame) -> DataFrame:
+    """The rows of a batch of received records that the ledger stream left out, each once."""
+    return new_rows(received, ledger, "usage_id").dropDuplicates(["usage_id"])
+
+
+def window_costs(usage: DataFrame, width: str = "1 hour", slide: str | None = None) -> DataFrame:
+    """Cost and tokens per provider in tumbling or sliding windows; for batches and streams."""
     return (
-        usage.withWatermark("used_at", watermark)
-        .groupBy(F.window("used_at", width, slide).alias("w"), "provider")
+        usage.groupBy(F.window("used_at", width, slide).alias("w"), "provider")
         .agg(
             F.count(F.lit(1)).alias("records"),
             F.sum(F.col("input_tokens") + F.col("output_tokens")).alias("tokens"),
@@ -42,29 +51,75 @@ def stream_costs(
     )
 
 
-def stream_jobs(progress: DataFrame) -> DataFrame:
-    """Latest status and stage of each job that had updates in a micro-batch.
+def stream_costs(
+    usage: DataFrame, width: str = "1 hour", slide: str | None = None, watermark: str = "1 hour"
+) -> DataFrame:
+    """Windows of a stream of usage in which a record delivered twice counts once.
 
-    ``progress`` has (job_id, ts, seq, status, stage); rows of a job may arrive in any
-    order. A built-in aggregate, so updates of a busy job are reduced before the shuffle
-    and its state is one row. Run in update mode; ``changed_jobs`` drops repeats.
+    Run in append mode: a window comes out once, when the watermark has passed its end.
     """
-    latest = F.max_by(F.struct("status", "stage", "seq"), F.struct("ts", "seq"))
-    return progress.groupBy("job_id").agg(latest.alias("s")).select(
-        "job_id", "s.seq", "s.status", "s.stage"
+    return window_costs(stream_usage(usage, watermark), width, slide)
+
+
+def with_late_costs(
+    windows: DataFrame, late: DataFrame, width: str = "1 hour", slide: str | None = None
+) -> DataFrame:
+    """Emitted windows with the records that came after them."""
+    columns = ["window_start", "window_end", "provider", "records", "tokens", "cost_usd"]
+    both = windows.select(columns).unionByName(window_costs(late, width, slide))
+    return both.groupBy("window_start", "window_end", "provider").agg(
+        *(F.sum(c).alias(c) for c in ("records", "tokens", "cost_usd"))
     )
 
 
-def changed_jobs(emitted: DataFrame) -> DataFrame:
-    """Emitted job rows without those that repeat the job's previous status and stage.
+_JOB = "job_id bigint, seq bigint, status string, stage string"
+_KNOWN = "ts timestamp, seq bigint, status string, stage string"
+
+
+def stream_jobs(progress: DataFrame, watermark: str = "1 hour", idle: str = "1 day") -> DataFrame:
+    """Status and stage of each job when they change; run in update mode.
 
-    Rows after a final status are left out.
+    ``progress`` has (job_id, ts, seq, status, stage); rows of a job may arrive in any order
+    and more than once. A repeat emits nothing. The first final status ends a job: rows behind
+    it emit nothing. Its state, as that of a job without news, goes ``idle`` after its last
+    row. Within a micro-batch the newest row and the first final one are picked as the rows
+    pass by, so a busy job needs no memory for them.
     """
-    known = emitted.withColumn("_told", F.concat_ws("/", "status", "stage"))
-    near = neighbour(known, ["job_id"], ["batch"], "_told", "_before", following=False)
-    over = emitted.where(F.col("status").isin(*FINAL)).groupBy("job_id").agg(F.min("batch").alias("_end"))
-    kept = near.where(~F.col("_told").eqNullSafe(F.col("_before"))).join(over, "job_id", "left")
-    return kept.where("_end IS NULL OR batch <= _end").drop("_told", "_before", "_end")
+    patience = int(pd.Timedelta(idle).total_seconds() * 1000)
+
+    def step(
+        key: tuple, frames: Iterator[pd.DataFrame], state: GroupState
+    ) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
+        before = tuple(state.get) if state.exists else None
+        if before and before[2] in FINAL:
+            for _ in frames:
+                pass
+            return
+        newest, ended = before, None
+        for frame in frames:
+            for row in frame[["ts", "seq", "status", "stage"]].itertuples(index=False, name=None):
+                newest = row if newest is None or row[:2] > newest[:2] else newest
+                if row[2] in FINAL and (ended is None or row[:2] < ended[:2]):
+                    ended = row
+        now = ended or newest
+        state.update((now[0], int(now[1]), now[2], now[3]))
+        state.setTimeoutTimestamp(
+            max(int(pd.Timestamp(now[0]).timestamp() * 1000), state.getCurrentWatermarkMs()) + patience
+        )
+        if before is None or before[2:] != now[2:]:
+            yield pd.DataFrame(
+                {"job_id": [key[0]], "seq": [int(now[1])], "status": [now[2]], "stage": [now[3]]}
+            )
+
+    rows = progress.select("job_id", "ts", "seq", "status", "stage")
+    return (
+        rows.withWatermark("ts", watermark)
+        .groupBy("job_id")
+        .applyInPandasWithState(step, _JOB, _KNOWN, "update", GroupStateTimeout.EventTimeTimeout)
+    )
 
 
 def run_to_table(stream: DataFrame, mode: str = "append") -> DataFrame:
@@ -95,5 +150,9 @@ def last_emitted(rows: DataFrame, *keys: str) -> DataFrame:
     return keep_last(rows, list(keys), ["batch"]).drop("batch")
 
 
-def file_stream(spark: SparkSession, path: str, schema) -> DataFrame:
-    return spark.readStream.schema(schema).parquet(path)
+def file_stream(spark: SparkSession, path: str, schema, files_per_batch: int | None = None) -> DataFrame:
+    """Files of a folder in the order they were written, ``files_per_batch`` to a micro-batch."""
+    reader = spark.readStream.schema(schema)
+    if files_per_batch:
+        reader = reader.option("maxFilesPerTrigger", str(files_per_batch))
+    return reader.parquet(path)
