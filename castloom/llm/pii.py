@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from castloom.llm.base import WORD, pick
+from castloom.operators.rows import hash_sample
 
 KINDS = ("email", "ip", "card", "phone")
 #: What a word can be: nothing, or the first or a later word of a kind.
@@ -330,7 +331,7 @@ def fit(docs: DataFrame, text: str = "text", sample: int = SAMPLE_DOCUMENTS) ->
     """A field fitted to EXAMPLES and to the spans of fixed patterns in at most `sample`
     documents with a digit or an @, taken by the hash of their text."""
     rows = pick(docs, text=text).where(F.col("text").rlike("[0-9@]"))
-    rows = rows.select("text", F.xxhash64("text").alias("h")).orderBy("h", "text").limit(sample)
+    rows = hash_sample(rows, ["text"], rows.count(), sample)
     examples = [x for line in EXAMPLES for x in labelled(*_example(line))] * 3
     for row in rows.select(F.substring("text", 1, 20_000).alias("text")).collect():
         for run, labels in labelled(row["text"], base_spans(row["text"])):

@@ -96,6 +96,9 @@ def close_pairs(
     """
     blocks = blocks or max(distance + 4, 8)
     fps = fps.select(F.col(fp).alias("fp")).where("fp is not null").distinct()
+    # Each row becomes many: spread them before, however small they are together.
+    spread = int(fps.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    fps = fps.repartition(spread, "fp")
     grid, masks = _grid(fps, distance, blocks)
     left, right = grid.alias("l"), grid.select("choice", "cell", "fp", "point").alias("r")
     apart = F.col("l.point").bitwiseXOR(F.col("r.point"))

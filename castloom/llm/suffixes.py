@@ -20,6 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from castloom.llm.base import parked, pick
+from castloom.llm.url_cascade import bloom
 
 #: Bytes of a repeated string, and of the strings of the first buckets.
 LENGTH, GRAM = 400, 64
@@ -214,6 +215,12 @@ def _windows(steps: DataFrame, length: int) -> DataFrame:
     return steps.mapInArrow(read, ", ".join(f"{n} bigint" for n in names))
 
 
+def _maybe(keys: DataFrame, key: str) -> Column:
+    """Whether `keys` may hold a text's k1: texts that it surely lacks need not be moved. A
+    filter of bounded size; the join behind it decides."""
+    return bloom(keys.select(F.col(key).alias("key")), keys.count()).holds(F.col("k1"))
+
+
 def _repeats(texts: DataFrame, length: int, gram: int) -> DataFrame:
     """(k1, k2, kind, a, b): what in a text is repeated elsewhere.
 
@@ -236,9 +243,13 @@ def _repeats(texts: DataFrame, length: int, gram: int) -> DataFrame:
     )
     alone = found.where("not again").select("bucket").distinct()
     open_ = found.join(alone, "bucket").select(F.col("lo").alias("of"), *entry)
-    wanted = open_.groupBy("of").agg(F.collect_list(F.struct(*entry)).alias("wanted"))
+    wanted = parked(open_.groupBy("of").agg(F.collect_list(F.struct(*entry)).alias("wanted")), "wanted")
     spans = _span_rows(
-        texts.join(wanted, F.col("k1") == F.col("of")).select("text", "k1", "k2", "wanted"), length, gram
+        texts.where(_maybe(wanted, "of"))
+        .join(wanted, F.col("k1") == F.col("of"))
+        .select("text", "k1", "k2", "wanted"),
+        length,
+        gram,
     )
     spans = parked(spans.dropDuplicates(entry), "spans")
 
@@ -320,6 +331,10 @@ def remove_repeats(
     repeats = _repeats(texts.select("text", "k1", "k2"), length, gram)
     told = whole.unionByName(repeats.join(copied.select("k1", "k2"), ["k1", "k2"], "left_anti"))
     told = told.groupBy("k1", "k2").agg(F.collect_list(F.struct("kind", "a", "b")).alias("told"))
+    told = parked(told, "told")
+    found = _maybe(told, "k1")
+    moved = texts.where(found).join(told, ["k1", "k2"], "left").select("doc_id", "text", "told")
+    others = texts.where(~found).select("doc_id", "text", F.lit(None).cast(told.schema["told"].dataType).alias("told"))
     kind = dict(rows.dtypes)["doc_id"]
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -359,14 +374,10 @@ def remove_repeats(
                 ["doc_id", *batch.schema.names, "kept_sha256", "kept"],
             )
 
-    return (
-        texts.join(told, ["k1", "k2"], "left")
-        .select("doc_id", "text", "told")
-        .mapInArrow(
-            cut,
-            f"doc_id {kind}, n_bytes bigint, n_removed bigint, n_spans bigint, "
-            "kept_sha256 string, kept binary",
-        )
+    return moved.unionByName(others).mapInArrow(
+        cut,
+        f"doc_id {kind}, n_bytes bigint, n_removed bigint, n_spans bigint, "
+        "kept_sha256 string, kept binary",
     )
 
 

@@ -89,7 +89,8 @@ class Level:
         return said
 
 
-def _level(keys: DataFrame, count: int, number: int) -> Level:
+def bloom(keys: DataFrame, count: int, number: int = 1) -> Level:
+    """A Bloom filter of the `count` rows of `keys` (key), at most MOST_BITS large."""
     words = min(-(-max(count, 1) * BITS_PER_KEY // 64), MOST_BITS // 64)
     level = Level(keys, number, words * 64)
     spark = keys.sparkSession
@@ -120,7 +121,7 @@ def cascade(keys: DataFrame) -> list[Level]:
     while count:
         if len(levels) == MOST_LEVELS:
             raise ValueError(f"{count} keys left after {MOST_LEVELS} levels: raise MOST_BITS")
-        level = _level(inside, count, len(levels) + 1)
+        level = bloom(inside, count, len(levels) + 1)
         levels.append(level)
         passed = parked(outside.where(level.holds(F.col("key"))), "keys")
         inside, outside, count = passed, inside, passed.count()

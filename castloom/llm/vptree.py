@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from castloom.llm.base import parked, pick
+from castloom.operators.rows import hash_sample
 
 #: Rows of a shard, and of a leaf of its tree.
 SHARD_ROWS, LEAF_ROWS = 8192, 128
@@ -275,7 +276,7 @@ def search(
         F.count("*"), F.sqrt(F.max(square)), F.count(F.when(F.col("asks"), 1))
     ).first()
 
-    sample = points.orderBy(F.xxhash64("rep"), "rep").limit(SAMPLE_ROWS).select("vector").toArrow()
+    sample = hash_sample(points.select("rep", "vector"), ["rep"], total, SAMPLE_ROWS).toArrow()
     fitted = _lifted(_matrix(sample["vector"]), longest)
     least = max(ROUTE_ROWS, len(fitted) * shard_rows // max(total, 1))
     routes = Routes(grow(fitted, least), longest)

@@ -42,7 +42,8 @@ def test_models_made_by_hand(kind, options):
     own, codec = sentencepiece.SentencePieceProcessor(model_proto=raw), sp.Codec(raw)
     short = [t for t in texts() if len(t) < 10_000]
     for text, (ids, decoded, parity) in zip(short, codec.encode(short), strict=True):
-        assert parity
+        # Without characters of its own, a model can't tell a byte's name from the byte.
+        assert parity or "<0x" in text
         if options.get("byte_fallback", True):
             assert ids.tolist() == own.encode(text)
             assert decoded == own.decode(ids.tolist()) or not options.get("squeeze", True) or "▁" in text
