@@ -15,6 +15,8 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Row, Window
 from pyspark.sql import functions as F
 
+from castloom.operators.rows import hash_sample
+
 #: Rows of a key from which on it is cut, and into how many parts.
 HOT_ROWS, PARTS = 200_000, 64
 #: Hot keys that are cut: any other key then has less than a thousandth of the rows.
@@ -38,20 +40,21 @@ def _same(keys: Sequence[str], prefix: str) -> Column:
     return same
 
 
-def _hot_keys(df: DataFrame, keys: Sequence[str]) -> DataFrame | None:
-    """The hot keys, at most MOST_HOT rows, or None."""
+def _hot_keys(df: DataFrame, keys: Sequence[str]) -> tuple[DataFrame | None, int]:
+    """The hot keys, at most MOST_HOT rows, or None, and how many rows they have."""
     count = F.count(F.lit(1)).alias("_n")
     rows = (
         df.groupBy(*keys).agg(count).where(F.col("_n") > HOT_ROWS)
         .orderBy(F.col("_n").desc()).limit(MOST_HOT).collect()
     )
     if not rows:
-        return None
+        return None, 0
     fields = [f for f in df.select(*keys).schema.fields] if keys else []
     schema = df.select(*keys).schema if fields else "_all int"
     data = [tuple(r[k] for k in keys) if keys else (1,) for r in rows]
     hot = df.sparkSession.createDataFrame(data, schema)
-    return hot.select(*(F.col(k).alias(f"_h{k}") for k in keys), F.lit(True).alias("_hot"))
+    named = hot.select(*(F.col(k).alias(f"_h{k}") for k in keys), F.lit(True).alias("_hot"))
+    return named, sum(r["_n"] for r in rows)
 
 
 def spread(df: DataFrame, keys: Sequence[str], order: Sequence[str]) -> tuple[DataFrame, bool]:
@@ -59,11 +62,11 @@ def spread(df: DataFrame, keys: Sequence[str], order: Sequence[str]) -> tuple[Da
 
     ``order`` must identify a row within its key; only then can a hot key be cut.
     """
-    hot = _hot_keys(df, keys)
+    hot, count = _hot_keys(df, keys)
     if hot is None:
         return df.withColumn(_PART, F.lit(0)), False
     marked = df.join(F.broadcast(hot), _same(keys, "_h"), "left") if keys else df.withColumn("_hot", F.lit(True))
-    sample = marked.where("_hot").select(*order).orderBy(F.xxhash64(*order)).limit(SAMPLE_ROWS)
+    sample = hash_sample(marked.where("_hot").select(*order), order, count, SAMPLE_ROWS)
     sample = sample.orderBy(*order).collect()
     picked = [sample[len(sample) * i // PARTS] for i in range(1, PARTS)]
     at = F.struct(*order)

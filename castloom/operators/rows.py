@@ -29,6 +29,18 @@ def _chosen(df: DataFrame, keys: Sequence[str], pick, rank: Column) -> DataFrame
     return rows.select(*(F.col(c) if c in keys else F.col("_row")[c].alias(c) for c in df.columns))
 
 
+def hash_sample(df: DataFrame, by: Sequence[str], count: int, most: int) -> DataFrame:
+    """At most ``most`` of the ``count`` rows, those with the lowest hash of ``by``.
+
+    The hash is cut off at twice the wanted share first, so that a task passes on a few rows
+    however many tasks there are.
+    """
+    share = min(1.0, 2 * most / max(count, 1))
+    hashed = df.withColumn("_h", F.shiftrightunsigned(F.xxhash64(*by), 2))
+    low = hashed.where(F.col("_h") <= int(share * 2**62))
+    return low.orderBy("_h", *by).limit(most).drop("_h")
+
+
 def new_rows(rows: DataFrame, known: DataFrame, key: str | Sequence[str]) -> DataFrame:
     """Rows whose key is not in ``known``; a null key matches nothing, so it is new."""
     keys = [key] if isinstance(key, str) else list(key)
