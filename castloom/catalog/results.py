@@ -116,9 +116,8 @@ def split_front_matter(spark, folder):
 
 
 def headings(spark, folder):
-    found = d.heading_array(d.body_of(F.col("content")))
-    rows = _notes(spark, folder).select("doc_id", F.posexplode(found).alias("no", "h"))
-    return rows.select("doc_id", F.col("no").cast("bigint").alias("no"), "h.id", _hash("h.text").alias("text_hash"), F.col("h.level").cast("bigint").alias("level"))
+    rows = rs.headings(_notes(spark, folder), d.body_of(F.col("content")), "doc_id")
+    return rows.select("doc_id", "no", "id", _hash("text").alias("text_hash"), "level")
 
 
 def front_matter(spark, folder):
@@ -384,7 +383,8 @@ WHERE n_warnings = 0 AND (confidence IS NULL OR confidence >= 0.7)""",
         "results",
     ),
     "batch_report": oracle(
-        """SELECT count(*) AS requested, count(*) AS succeeded, CAST(0 AS BIGINT) AS failed,
+        """SELECT count(*) AS requested, count(*) FILTER (success) AS succeeded,
+       count(*) FILTER (NOT success) AS failed,
        round(sum(cost_usd + CASE WHEN episode_id % 3 = 0 THEN 0.0 ELSE 0.01 END), 6)
          AS total_cost_usd,
        bool_and(cost_known) AS total_cost_known,

@@ -10,11 +10,11 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
-from castloom.functions.text import SPACE, heading_slug, lstrip, strip
+from castloom.functions.text import SPACE, lstrip, strip
 
 #: Size of a model's answer in bytes and depth of its nesting.
 MAX_JSON_BYTES, MAX_JSON_DEPTH = 5_000_000, 10
-CONTEXT_CUT = 50
+CONTEXT_CUT, CONTEXT_ITEMS = 50, 5
 
 
 def front_matter_of(text: Column) -> Column:
@@ -153,11 +153,11 @@ def _concept(x: Column) -> Column:
     )
 
 
-def _tool(x: Column) -> Column:
+def _tool(x: Column, cut: int) -> Column:
     return F.array(
         F.concat(
             F.lit("| "), _or(x["name"], "Unknown"), F.lit(" | "), _or(x["category"], "N/A"),
-            F.lit(" | "), F.substring(_or(x["context"]), 1, CONTEXT_CUT), F.lit(" |"),
+            F.lit(" | "), F.substring(_or(x["context"]), 1, cut), F.lit(" |"),
         )
     )
 
@@ -173,8 +173,13 @@ def _book(x: Column) -> Column:
     )
 
 
-def render(template: Column, content_text: Column, content_json: Column) -> Column:
-    """Markdown of a result: text as it is, JSON by the template's kind, else an error note."""
+def render(
+    template: Column, content_text: Column, content_json: Column, context_cut: int = CONTEXT_CUT
+) -> Column:
+    """Markdown of a result: text as it is, JSON by the template's kind, else an error note.
+
+    A tool's context is cut at ``context_cut`` characters to fit its table.
+    """
     low = F.lower(template)
 
     def is_kind(word: str) -> Column:
@@ -186,7 +191,7 @@ def render(template: Column, content_text: Column, content_json: Column) -> Colu
                         "# Key Concepts", "No concepts found.", _concept)
     table = "# Tools & Technologies Mentioned\n\n| Tool | Category | Context |\n|------|----------|---------|"
     tools = _listing(content_json, "tools", ("name", "category", "context"), table,
-                     "No tools found.", _tool)
+                     "No tools found.", lambda x: _tool(x, context_cut))
     tools = F.replace(tools, F.lit("|---------|\n\n"), F.lit("|---------|\n"))
     tools = F.regexp_replace(tools, r"(\|---------\|)\n\z", "$1")
     books = _listing(content_json, "books", ("title", "author", "context"),
@@ -208,23 +213,20 @@ def render(template: Column, content_text: Column, content_json: Column) -> Colu
     )
 
 
-def heading_array(markdown: Column) -> Column:
-    """Headings of level 1 to 3 as structs (id, text, level)."""
-    pattern = rf"^(#{{1,3}}){SPACE}+(.+)$"
-    lines = F.filter(
-        F.transform(F.filter(F.split(markdown, "\n"), lambda x: F.contains(x, F.lit("#"))), strip),
-        lambda x: F.regexp_like(x, F.lit(pattern)),
-    )
+_HEADING = rf"^(#{{1,3}}){SPACE}+(.+)$"
+
+
+def is_heading(line: Column) -> Column:
+    return F.contains(line, F.lit("#")) & F.regexp_like(strip(line), F.lit(_HEADING))
+
+
+def heading_level(line: Column) -> Column:
+    return F.length(F.regexp_extract(strip(line), _HEADING, 1)).cast("bigint")
 
-    def heading(line: Column) -> Column:
-        marks = F.regexp_extract(line, pattern, 1)
-        said = F.regexp_extract(line, pattern, 2)
-        text = strip(F.regexp_replace(said, rf"{SPACE}+#+$", ""))
-        return F.struct(
-            heading_slug(text).alias("id"), text.alias("text"), F.length(marks).alias("level")
-        )
 
-    return F.filter(F.transform(lines, heading), lambda h: h["id"] != "")
+def heading_text(line: Column) -> Column:
+    """The text of a heading line without the marks at either end."""
+    return strip(F.regexp_replace(F.regexp_extract(strip(line), _HEADING, 2), rf"{SPACE}+#+$", ""))
 
 
 def json_problem(
@@ -254,12 +256,13 @@ def json_in_text(text: Column) -> Column:
 
 
 def context_block(
-    podcast: Column, episode: Column, summary: Column, quotes: Column, concepts: Column
+    podcast: Column, episode: Column, summary: Column, quotes: Column, concepts: Column,
+    most: int = CONTEXT_ITEMS,
 ) -> Column:
-    """What an interviewer is told: summary, first five quotes, first five concepts."""
+    """What an interviewer is told: summary, first ``most`` quotes and concepts."""
 
     def section(title: str, items: Column) -> Column:
-        listed = F.transform(F.slice(items, 1, 5), lambda x: F.concat(F.lit("- "), x))
+        listed = F.transform(F.slice(items, 1, most), lambda x: F.concat(F.lit("- "), x))
         lines = F.concat(F.array(F.lit(""), F.lit(title)), listed)
         some = F.coalesce(F.size(items) > 0, F.lit(False))
         return F.when(some, lines).otherwise(F.array().cast("array<string>"))

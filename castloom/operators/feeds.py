@@ -196,20 +196,20 @@ def feeds_view(feeds: DataFrame) -> DataFrame:
 
 
 def select_episodes(
-    entries: DataFrame, selectors: DataFrame
+    entries: DataFrame, selectors: DataFrame, most: int = MAX_SELECTED
 ) -> tuple[DataFrame, DataFrame]:
     """Entries named by selectors (selector_id, feed, selector), and refused selectors.
 
     A selector is a position, a range (either way round), a list (order and repeats are
     kept) or, failing these, a keyword for the first title that contains it. One position
-    outside the feed, or more than 100 of them, refuses the whole selector.
+    outside the feed, or more than ``most`` of them, refuses the whole selector.
     """
     text = strip(F.col("selector"))
     number = lambda c: c.try_cast("bigint")
     low = number(F.regexp_extract(text, r"^(\d+)-(\d+)$", 1))
     high = number(F.regexp_extract(text, r"^(\d+)-(\d+)$", 2))
     listed = F.transform(F.split(text, r",\s*"), number)
-    many = F.lit(MAX_SELECTED)
+    many = F.lit(most)
     kind = (
         F.when(F.regexp_like(text, F.lit(r"^\d+$")), "one")
         .when(F.regexp_like(text, F.lit(r"^\d+-\d+$")), "range")

@@ -39,10 +39,12 @@ def job_note(jobs: DataFrame, notes: DataFrame) -> DataFrame:
     return jobs.join(notes.select("job_id", "note_id"), "job_id", "left")
 
 
-def search_notes(notes: DataFrame, needle: str = "", mode: str = "all") -> DataFrame:
+def search_notes(
+    notes: DataFrame, needle: str = "", mode: str = "all", recent: int = RECENT
+) -> DataFrame:
     """Notes with the needle in title, summary, source url or source title, in any case.
 
-    ``summaries`` keeps notes with a summary; ``recent`` the five newest.
+    ``summaries`` keeps notes with a summary; mode ``recent`` the ``recent`` newest.
     """
     if mode == "summaries":
         notes = notes.where(F.coalesce("summary", F.lit("")) != "")
@@ -54,7 +56,7 @@ def search_notes(notes: DataFrame, needle: str = "", mode: str = "all") -> DataF
                 low = F.lower(F.coalesce(c, F.lit("")))
                 found = found | F.contains(low, F.lit(wanted))
         notes = notes.where(found)
-    return sort_notes(notes).limit(RECENT) if mode == "recent" else notes
+    return sort_notes(notes).limit(recent) if mode == "recent" else notes
 
 
 def _note_order(key: str) -> Column:
@@ -122,7 +124,7 @@ def _visible(files: Column) -> Column:
     return F.when(F.size(shown) > 0, shown).otherwise(files)
 
 
-def assemble_notes(files: DataFrame) -> DataFrame:
+def assemble_notes(files: DataFrame, summary_characters: int = SUMMARY_CHARACTERS) -> DataFrame:
     """One note and summary per episode from its files, one per template.
 
     ``files`` has (episode_id, title, url, file_no, filename, template_name, content). An
@@ -142,7 +144,7 @@ def assemble_notes(files: DataFrame) -> DataFrame:
     head = F.concat(F.lit("# "), "title", F.lit("\n\n[Source]("), "url", F.lit(")"))
     body = F.concat(strip(F.concat(head, F.array_join(part, ""))), F.lit("\n"))
     first = F.get(F.filter("_files", lambda f: f["template_name"] == "summary"), F.lit(0))["body"]
-    summary = F.when(first != "", truncate_words(first, SUMMARY_CHARACTERS))
+    summary = F.when(first != "", truncate_words(first, summary_characters))
     return shown.select("episode_id", "title", body.alias("body_markdown"), summary.alias("summary"))
 
 

@@ -9,7 +9,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 
-from castloom.functions.documents import json_in_text, json_problem
+from castloom.functions.documents import heading_level, heading_text, is_heading, json_in_text, json_problem
+from castloom.functions.text import heading_slug
+from castloom.operators.ordered import positions
 
 MIN_CONFIDENCE = 0.7
 MIN_NOTE_BYTES = 100
@@ -66,8 +68,9 @@ def run_label(summary: DataFrame) -> DataFrame:
 
 
 def episode_report(results: DataFrame, transcripts: DataFrame | None = None) -> DataFrame:
-    """Per episode: costs, whether they are all known, cache hits."""
+    """Per episode: costs, whether they are all known, cache hits, whether any result is good."""
     per = results.groupBy("episode_id").agg(
+        F.bool_or("success").alias("succeeded"),
         F.sum("cost_usd").alias("extraction_usd"),
         F.bool_and("cost_known").alias("total_known"),
         F.count_if(~F.col("cost_known")).alias("unknown_operations"),
@@ -93,8 +96,8 @@ def batch_report(results: DataFrame, transcripts: DataFrame | None = None) -> Da
     n = F.count(F.lit(1))
     return per.agg(
         n.alias("requested"),
-        n.alias("succeeded"),
-        F.lit(0).cast("bigint").alias("failed"),
+        F.count_if(F.col("succeeded")).alias("succeeded"),
+        F.count_if(~F.coalesce("succeeded", F.lit(False))).alias("failed"),
         F.coalesce(F.sum(F.col("extraction_usd") + F.col("transcription_usd")), F.lit(0.0)).alias("total_cost_usd"),
         F.coalesce(F.bool_and("total_known"), F.lit(True)).alias("total_cost_known"),
         F.coalesce(F.sum("unknown_operations"), F.lit(0)).cast("bigint").alias("unknown_operations"),
@@ -244,6 +247,21 @@ def benchmark_agg(runs: DataFrame) -> DataFrame:
     return runs.agg(*told)
 
 
+def headings(notes: DataFrame, markdown: Column, *keep: str) -> DataFrame:
+    """Headings of level 1 to 3: keep columns, no (from 0 within them), id, text, level.
+
+    Lines become rows first, so that each expression runs once per line.
+    """
+    lines = notes.select(*keep, F.posexplode(F.split(markdown, "\n")).alias("_at", "_line"))
+    found = lines.where(is_heading(F.col("_line"))).withColumn("text", heading_text(F.col("_line")))
+    rows = found.select(
+        *keep, "_at", heading_slug(F.col("text")).alias("id"), "text",
+        heading_level(F.col("_line")).alias("level"),
+    )
+    numbered = positions(rows.where("id <> ''"), list(keep), ["_at"], "no")
+    return numbered.select(*keep, (F.col("no") - 1).alias("no"), "id", "text", "level")
+
+
 def check_notes(files: DataFrame, expected: DataFrame) -> DataFrame:
     """Errors and warnings per episode on what was written.
 
