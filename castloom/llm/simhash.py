@@ -57,32 +57,8 @@ def _bit_counts(fp: Column) -> Column:
     return some.bitwiseOR(F.shiftleft(both, 1))
 
 
-def _grid(fps: DataFrame, distance: int, blocks: int) -> DataFrame:
-    """Each fingerprint once per choice of `blocks - distance` grid coordinates.
-
-    At Manhattan distance d, at most d of the coordinates differ, so a close pair shares a
-    cell of every choice that avoids those. `own` marks the chosen coordinates, `upto` all
-    up to the last one; with them a pair is judged in the first cell it shares only.
-    """
-    edges = [round(i * 32 / blocks) * 2 for i in range(blocks + 1)]
-    masks = [((1 << hi) - 1) & ~((1 << lo) - 1) for lo, hi in zip(edges, edges[1:], strict=False)]
-    signed = [m - (1 << 64) if m >> 63 else m for m in masks]
-    chosen = []
-    for n, picked in enumerate(combinations(range(blocks), blocks - distance)):
-        mask = sum(masks[i] for i in picked)
-        mask -= (1 << 64) if mask >> 63 else 0
-        own = sum(1 << i for i in picked)
-        chosen.append(
-            F.struct(
-                F.lit(n).alias("choice"),
-                F.col("point").bitwiseAND(F.lit(mask).cast("long")).alias("cell"),
-                F.lit(own).alias("own"),
-                F.lit((2 << picked[-1]) - 1).alias("upto"),
-            )
-        )
-    rows = fps.select("fp", _bit_counts(F.col("fp")).alias("point"))
-    rows = rows.select("fp", "point", F.explode(F.array(*chosen)).alias("at"))
-    return rows.select("fp", "point", "at.*"), signed
+def _signed(mask: int) -> Column:
+    return F.lit(mask - (1 << 64) if mask >> 63 else mask).cast("long")
 
 
 def close_pairs(
@@ -90,34 +66,54 @@ def close_pairs(
 ) -> DataFrame:
     """Pairs (a, b), a < b, of distinct fingerprints that differ in at most `distance` bits.
 
-    Fingerprints become points of segment bit counts. A grid join brings points of one cell
-    together, the Manhattan distance of the points bounds the bit distance from below, and
-    the bits decide. The test is exact, every pair is returned once, nothing is dropped.
+    Fingerprints become points of segment bit counts, `blocks` coordinates of a few segments
+    each. At Manhattan distance d, at most d coordinates differ, so with each point in the grid
+    once per choice of `blocks - distance` coordinates, a close pair shares a cell of every
+    choice that avoids those. In a cell the Manhattan distance bounds the bit distance from
+    below, and the bits decide. A pair is taken in the first cell it shares only: the test is
+    exact, every pair is returned once, nothing is dropped. Both sides of the join are the same
+    rows, so that Spark deals them out once.
     """
     blocks = blocks or max(distance + 4, 8)
     fps = fps.select(F.col(fp).alias("fp")).where("fp is not null").distinct()
     # Each row becomes many: spread them before, however small they are together.
     spread = int(fps.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     fps = fps.repartition(spread, "fp")
-    grid, masks = _grid(fps, distance, blocks)
-    left, right = grid.alias("l"), grid.select("choice", "cell", "fp", "point").alias("r")
-    apart = F.col("l.point").bitwiseXOR(F.col("r.point"))
+
+    edges = [round(i * 32 / blocks) * 2 for i in range(blocks + 1)]
+    masks = [((1 << hi) - 1) & ~((1 << lo) - 1) for lo, hi in zip(edges, edges[1:], strict=False)]
+    choices = list(combinations(range(blocks), blocks - distance))
+    point = _bit_counts(F.col("fp"))
+    cells = F.array(
+        *(
+            F.struct(
+                F.lit(n).alias("choice"),
+                point.bitwiseAND(_signed(sum(masks[i] for i in picked))).alias("cell"),
+            )
+            for n, picked in enumerate(choices)
+        )
+    )
+    grid = fps.select("fp", F.explode(cells).alias("at")).select("fp", "at.choice", "at.cell")
+
+    apart = _bit_counts(F.col("l.fp")).bitwiseXOR(_bit_counts(F.col("r.fp")))
     shared = sum(
-        (
-            F.when(apart.bitwiseAND(F.lit(mask).cast("long")) == 0, F.lit(1 << i)).otherwise(0)
-            for i, mask in enumerate(masks)
-        ),
+        (F.when(apart.bitwiseAND(_signed(m)) == 0, F.lit(1 << i)).otherwise(0) for i, m in enumerate(masks)),
         F.lit(0),
     )
+    own = F.array(*(F.lit(sum(1 << i for i in picked)) for picked in choices))
+    upto = F.array(*(F.lit((2 << picked[-1]) - 1) for picked in choices))
+    choice = F.col("l.choice")
     near = (
-        (F.col("l.choice") == F.col("r.choice"))
+        (choice == F.col("r.choice"))
         & (F.col("l.cell") == F.col("r.cell"))
         & (F.col("l.fp") < F.col("r.fp"))
         & (F.bit_count(apart) <= distance)
         & (F.bit_count(F.col("l.fp").bitwiseXOR(F.col("r.fp"))) <= distance)
-        & (shared.bitwiseAND(F.col("l.upto")) == F.col("l.own"))
+        & (shared.bitwiseAND(F.get(upto, choice)) == F.get(own, choice))
     )
-    return left.join(right, near).select(F.col("l.fp").alias("a"), F.col("r.fp").alias("b"))
+    # Spark does not see how many rows the grid has and would take it for small.
+    pairs = grid.alias("l").join(grid.alias("r").hint("merge"), near)
+    return pairs.select(F.col("l.fp").alias("a"), F.col("r.fp").alias("b"))
 
 
 def near_duplicates(
