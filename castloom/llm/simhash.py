@@ -78,7 +78,7 @@ def close_pairs(
     fps = fps.select(F.col(fp).alias("fp")).where("fp is not null").distinct()
     # Each row becomes many: spread them before, however small they are together.
     spread = int(fps.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    fps = fps.repartition(spread, "fp")
+    fps = fps.repartition(spread, F.xxhash64("fp"))
 
     edges = [round(i * 32 / blocks) * 2 for i in range(blocks + 1)]
     masks = [((1 << hi) - 1) & ~((1 << lo) - 1) for lo, hi in zip(edges, edges[1:], strict=False)]
