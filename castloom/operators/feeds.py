@@ -310,12 +310,16 @@ def _pieces(df: DataFrame, key: str) -> DataFrame:
     return rows.select(key, "_length", "_edits", "_no", F.substring(key, start + 1, end - start).alias("_piece"))
 
 
-def _places(df: DataFrame, key: str) -> DataFrame:
-    """What a key holds where a piece of a close stored key of each length may stand."""
+def _places(df: DataFrame, key: str, lengths: DataFrame) -> DataFrame:
+    """What a key holds where a piece of a close stored key of each length may stand.
+
+    Only ``lengths`` (_length) that stored keys have are looked at.
+    """
     own = F.length(key)
     low = F.ceil(own * CLOSE_RATIO / (2 - CLOSE_RATIO) - 1e-9)
     high = F.floor(own * (2 - CLOSE_RATIO) / CLOSE_RATIO + 1e-9)
     rows = df.where(own > 0).select(key, own.alias("_own"), F.explode(_range(low, high)).alias("_length"))
+    rows = rows.join(lengths, "_length", "left_semi")
     rows = rows.withColumn("_edits", _edits(F.col("_length"), F.col("_own"))).where("_edits >= 0")
     rows = rows.select("*", F.explode(_range(F.lit(0), F.col("_edits"))).alias("_no"))
     rows = rows.withColumns(
@@ -349,7 +353,8 @@ def close_candidates(asked: DataFrame, stored: DataFrame) -> DataFrame:
     with the square of a name's length, never with the other side.
     """
     on = ["_length", "_edits", "_no", "_piece"]
-    return _places(asked, "_slug").join(_pieces(stored, "_key"), on).select("_slug", "_key").distinct()
+    lengths = stored.select(F.length("_key").alias("_length")).distinct()
+    return _places(asked, "_slug", lengths).join(_pieces(stored, "_key"), on).select("_slug", "_key").distinct()
 
 
 def resolve_feed(names: DataFrame, feeds: DataFrame) -> DataFrame:
