@@ -10,10 +10,13 @@ from pyspark.sql import functions as F
 from castloom.llm import (
     chunks,
     mixing,
+    periodic_runs,
     pii,
     quality,
     sentence_pieces,
+    sharding,
     simhash,
+    spellings,
     suffixes,
     token_rollups,
     url_cascade,
@@ -87,6 +90,18 @@ def op9_suffix_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return suffixes.remove_repeats(table(spark, folder, "documents")).drop("kept")
 
 
+def op11_spelling_variants(spark: SparkSession, folder: str) -> DataFrame:
+    return spellings.group(spellings.vocabulary(table(spark, folder, "documents"), noise=97))
+
+
+def op12_periodic_runs(spark: SparkSession, folder: str) -> DataFrame:
+    return periodic_runs.run_digests(table(spark, folder, "documents"))
+
+
+def op13_shards(spark: SparkSession, folder: str) -> DataFrame:
+    return sharding.shards(table(spark, folder, "documents"), count=40)
+
+
 QUERIES = {
     "op1_near_duplicates": op1_near_duplicates,
     "op2_quality_rules": op2_quality_rules,
@@ -98,6 +113,9 @@ QUERIES = {
     "op8_substring_chunks": op8_substring_chunks,
     "op9_suffix_dedup": op9_suffix_dedup,
     "op10_personal_data": op10_personal_data,
+    "op11_spelling_variants": op11_spelling_variants,
+    "op12_periodic_runs": op12_periodic_runs,
+    "op13_shards": op13_shards,
 }
 ORACLES: dict[str, str] = {
     "op2_quality_rules": quality.JUDGE_SQL,
