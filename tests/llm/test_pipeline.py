@@ -30,7 +30,7 @@ def test_stages(results):
     docs, kept, unique, clean, mix, encoded = results
     assert all(df.columns == COLUMNS for df in results[:-1])
     assert ids(kept) == ids(quality.judge(docs).where("kept"))
-    components = simhash.near_duplicates(kept).collect()
+    components = simhash.near_duplicates(kept, words=5).collect()
     assert ids(unique) == Counter({r["component_id"] for r in components})
     assert ids(clean) == ids(unique)
     before = {r["doc_id"]: r["text"] for r in unique.collect()}
