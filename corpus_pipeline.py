@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from castloom.llm import mixing, pii, quality, queries, sentence_pieces, shingles
+from castloom.llm import mixing, pii, quality, queries, sentence_pieces, simhash
 from castloom.llm.base import mark, parked, ready, sweep, table
 
 
@@ -16,9 +16,10 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies stays: five-word shingles, similarity 0.8."""
+    """One document of each group of near copies stays: fingerprints of five-word shingles that
+    differ in four bits at most."""
     ready(spark)
-    return shingles.keep_one(docs, words=5, percent=80)
+    return simhash.keep_one(docs, words=5, distance=4)
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
