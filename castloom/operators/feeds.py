@@ -283,58 +283,62 @@ def _edits(own: Column, other: Column) -> Column:
     return own + other - 2 * F.ceil(CLOSE_RATIO * (own + other) / 2 - 1e-9).cast("int")
 
 
-def _piece(i: Column, length: Column, edits: Column) -> Column:
-    """Start of piece ``i`` of a key cut into one piece more than it can have edits."""
-    return F.floor(i * length / (edits + 1)).cast("int")
-
-
 def _range(first: Column, last: Column) -> Column:
     """The numbers from ``first`` to ``last``; none if the first is greater."""
     none = F.array().cast("array<int>")
     return F.when(first <= last, F.sequence(first.cast("int"), last.cast("int"))).otherwise(none)
 
 
-def _pieces(df: DataFrame, key: str) -> DataFrame:
-    """The pieces of stored keys, for every number of edits that a close key may need.
+#: Grams that two close keys must share in what is left of them without their frequent ones.
+SHARED_GRAMS = 3
+
+
+def _matched(own: Column, other: Column) -> Column:
+    """Least characters in the matching blocks of two close keys of these lengths."""
+    return F.ceil(CLOSE_RATIO * (own + other) / 2 - 1e-9).cast("int")
 
-    Each edit spoils one piece at most, so one of ``edits + 1`` pieces is left as it is.
+
+def _spoilt(own: Column, other: Column) -> Column:
+    """Most pairs of neighbours of a key, its ends included, that a close key may lack.
+
+    Each of its characters outside the blocks spoils two, each of the other's one.
     """
-    own = F.length(key)
-    most = F.floor(own * (2 - CLOSE_RATIO) / CLOSE_RATIO + 1e-9).cast("int")
-    rows = df.where(own > 0).select(
-        key, own.alias("_length"), F.explode(_range(F.lit(0), _edits(own, most))).alias("_edits")
-    )
-    rows = rows.select("*", F.explode(_range(F.lit(0), F.col("_edits"))).alias("_no"))
-    start = _piece(F.col("_no"), F.col("_length"), F.col("_edits"))
-    end = _piece(F.col("_no") + 1, F.col("_length"), F.col("_edits"))
-    return rows.select(key, "_length", "_edits", "_no", F.substring(key, start + 1, end - start).alias("_piece"))
+    return 2 * own + other - 3 * _matched(own, other)
 
 
-def _places(df: DataFrame, key: str, lengths: DataFrame) -> DataFrame:
-    """What a key holds where a piece of a close stored key of each length may stand.
+def _grams(df: DataFrame, key: str) -> DataFrame:
+    """The pairs of neighbouring characters of each key, with their place."""
+    padded = F.concat(F.lit("\u0001"), F.col(key), F.lit("\u0002"))
+    at = F.explode(F.sequence(F.lit(0), F.length(key)))
+    rows = df.where(F.length(key) > 0).select(key, at.alias("_at"))
+    return rows.select(key, "_at", F.substring(padded, F.col("_at") + 1, F.lit(2)).alias("_gram"))
 
-    Only ``lengths`` (_length) that stored keys have are looked at.
+
+def _rare_grams(grams: DataFrame, key: str, counts: DataFrame) -> DataFrame:
+    """Of each key the rarest grams, so many that close keys share ``_least`` of them.
+
+    Close keys share all grams but the spoilt ones. If a key has n, may have k spoilt, and
+    keeps the k + SHARED_GRAMS rarest in an order that all keys have in common (grams of one
+    kind stay or go together), it leaves out n - k - SHARED_GRAMS at most; so does the other
+    key, and of the grams that both share, those up to the lower of the two borders are left.
     """
+    told = grams.join(counts, "_gram").groupBy(key).agg(
+        F.sort_array(F.collect_list(F.struct("_often", "_gram", "_at"))).alias("_all")
+    )
     own = F.length(key)
     low = F.ceil(own * CLOSE_RATIO / (2 - CLOSE_RATIO) - 1e-9)
     high = F.floor(own * (2 - CLOSE_RATIO) / CLOSE_RATIO + 1e-9)
-    rows = df.where(own > 0).select(key, own.alias("_own"), F.explode(_range(low, high)).alias("_length"))
-    rows = rows.join(lengths, "_length", "left_semi")
-    rows = rows.withColumn("_edits", _edits(F.col("_length"), F.col("_own"))).where("_edits >= 0")
-    rows = rows.select("*", F.explode(_range(F.lit(0), F.col("_edits"))).alias("_no"))
-    rows = rows.withColumns(
-        {
-            "_start": _piece(F.col("_no"), F.col("_length"), F.col("_edits")),
-            "_size": _piece(F.col("_no") + 1, F.col("_length"), F.col("_edits"))
-            - _piece(F.col("_no"), F.col("_length"), F.col("_edits")),
-        }
-    )
-    same = F.ceil(CLOSE_RATIO * (F.col("_own") + F.col("_length")) / 2 - 1e-9)
-    first = F.greatest(F.lit(0), F.col("_start") - (F.col("_length") - same))
-    last = F.least(F.col("_own") - F.col("_size"), F.col("_start") + (F.col("_own") - same))
-    rows = rows.select("*", F.explode(_range(first, last)).alias("_at"))
-    piece = F.substring(key, F.col("_at") + 1, F.col("_size"))
-    return rows.select(key, "_length", "_edits", "_no", piece.alias("_piece")).distinct()
+    spoilt = F.array_max(F.transform(_range(low, high), lambda other: _spoilt(own, other)))
+    told = told.withColumn("_spoilt", spoilt)
+    last = F.get("_all", F.least(F.col("_spoilt") + SHARED_GRAMS, F.size("_all")) - 1)
+    kept = F.filter(
+        "_all", lambda g: F.struct(g["_often"], g["_gram"]) <= F.struct(last["_often"], last["_gram"])
+    )
+    least = F.greatest(F.lit(1), F.least(F.lit(SHARED_GRAMS), F.size("_all") - F.col("_spoilt")))
+    rows = told.select(
+        F.xxhash64(key).alias("_id"), own.alias("_own"), least.alias("_least"), F.explode(kept).alias("_g")
+    )
+    return rows.select("_id", "_own", "_least", "_g._gram", "_g._at")
 
 
 @F.pandas_udf(DoubleType())
@@ -347,14 +351,38 @@ def _ratios(frames: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series
 
 
 def close_candidates(asked: DataFrame, stored: DataFrame) -> DataFrame:
-    """Pairs (_slug, _key) that may be close: they share a piece at a place it can have.
+    """Pairs (_slug, _key) of different rows that may be close; no close pair is missed.
 
-    No close pair is missed, and unrelated names hardly ever meet; each side's rows grow
-    with the square of a name's length, never with the other side.
+    A prefix filter: the grams of each key are ranked by how many stored keys' grams are the
+    same, the most frequent are left out, and the rest is joined, with the places and lengths
+    that close keys can have. So what very many names share, such as a common first word,
+    brings no pairs together. An edit distance with a bound decides before ratios are counted.
     """
-    on = ["_length", "_edits", "_no", "_piece"]
-    lengths = stored.select(F.length("_key").alias("_length")).distinct()
-    return _places(asked, "_slug", lengths).join(_pieces(stored, "_key"), on).select("_slug", "_key").distinct()
+    left, right = _grams(asked, "_slug"), _grams(stored, "_key")
+    often = right.groupBy("_gram").agg(F.count("*").alias("_often"))
+    some = left.select("_gram").distinct().join(often, "_gram", "left")
+    # Grams that no stored key has are rarest of all.
+    counts = some.select("_gram", F.coalesce("_often", F.lit(0)).alias("_often"))
+    a = _rare_grams(left, "_slug", counts).alias("a")
+    b = _rare_grams(right, "_key", often).alias("b")
+    own, other, shift = F.col("a._own"), F.col("b._own"), F.col("a._at") - F.col("b._at")
+    both = _matched(own, other)
+    near = (
+        (F.col("a._gram") == F.col("b._gram"))
+        & (both <= F.least(own, other))
+        & (shift <= own - both)
+        & (-shift <= other - both)
+    )
+    pairs = (
+        a.join(b, near)
+        .groupBy(F.col("a._id").alias("_a"), F.col("b._id").alias("_b"))
+        .agg(F.count("*").alias("_shared"), F.min(F.least("a._least", "b._least")).alias("_least"))
+        .where("_shared >= _least")
+    )
+    named = pairs.join(asked.distinct().withColumn("_a", F.xxhash64("_slug")), "_a")
+    named = named.join(stored.distinct().withColumn("_b", F.xxhash64("_key")), "_b").select("_slug", "_key")
+    edits = _edits(F.length("_slug"), F.length("_key"))
+    return named.where(F.call_function("levenshtein", F.col("_slug"), F.col("_key"), edits) >= 0)
 
 
 def resolve_feed(names: DataFrame, feeds: DataFrame) -> DataFrame:

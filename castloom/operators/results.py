@@ -11,7 +11,6 @@ from pyspark.sql.types import StringType, StructField, StructType
 
 from castloom.functions.documents import heading_level, heading_text, is_heading, json_in_text, json_problem
 from castloom.functions.text import heading_slug
-from castloom.operators.ordered import positions
 
 MIN_CONFIDENCE = 0.7
 MIN_NOTE_BYTES = 100
@@ -248,18 +247,25 @@ def benchmark_agg(runs: DataFrame) -> DataFrame:
 
 
 def headings(notes: DataFrame, markdown: Column, *keep: str) -> DataFrame:
-    """Headings of level 1 to 3: keep columns, no (from 0 within them), id, text, level.
+    """Headings of level 1 to 3 of each row: keep columns, no (from 0), id, text, level.
 
-    Lines become rows first, so that each expression runs once per line.
+    Only the lines that are headings become rows, numbered within their row: nothing is
+    shuffled.
     """
-    lines = notes.select(*keep, F.posexplode(F.split(markdown, "\n")).alias("_at", "_line"))
-    found = lines.where(is_heading(F.col("_line"))).withColumn("text", heading_text(F.col("_line")))
-    rows = found.select(
-        *keep, "_at", heading_slug(F.col("text")).alias("id"), "text",
-        heading_level(F.col("_line")).alias("level"),
+    lines = notes.select(*keep, F.filter(F.split(markdown, "\n"), is_heading).alias("_lines"))
+    told = lines.withColumn(
+        "_told",
+        F.transform("_lines", lambda line: F.struct(heading_text(line).alias("text"), heading_level(line).alias("level"))),
     )
-    numbered = positions(rows.where("id <> ''"), list(keep), ["_at"], "no")
-    return numbered.select(*keep, (F.col("no") - 1).alias("no"), "id", "text", "level")
+    named = told.withColumn(
+        "_told",
+        F.transform(
+            "_told", lambda h: F.struct(heading_slug(h["text"]).alias("id"), h["text"].alias("text"), h["level"].alias("level"))
+        ),
+    ).withColumn("_told", F.filter("_told", lambda h: h["id"] != ""))
+    # The outer form: the inner one would first compute the array to see whether it has any.
+    rows = named.select(*keep, F.posexplode_outer("_told").alias("no", "_h")).where("_h is not null")
+    return rows.select(*keep, F.col("no").cast("bigint").alias("no"), "_h.id", "_h.text", "_h.level")
 
 
 def check_notes(files: DataFrame, expected: DataFrame) -> DataFrame:

@@ -48,20 +48,39 @@ def transcript_stats(segments: DataFrame) -> DataFrame:
     )
 
 
-def _bucket(seconds: Column, width: float) -> Column:
-    return F.floor(seconds / width).cast("bigint")
+#: Seconds of a cell at the lowest level, and cells that times are held to on either side.
+CELL_S, MOST_CELLS = 60.0, 1 << 52
 
 
-def _over_buckets(df: DataFrame, start: Column, end: Column, width: float) -> DataFrame:
-    """One row per time bucket that a range touches."""
-    span = F.sequence(_bucket(start, width), F.greatest(_bucket(start, width), _bucket(end, width)))
-    return df.withColumn("_bucket", F.explode(span))
+def _cell(seconds: Column) -> Column:
+    """The lowest cell of a time; endless times fall into the outermost cells."""
+    cell = F.floor(F.least(F.greatest(seconds / CELL_S, F.lit(-1.0 * MOST_CELLS)), F.lit(1.0 * MOST_CELLS)))
+    return cell.cast("bigint")
 
 
-def segment_at(segments: DataFrame, probes: DataFrame, width: float = 600.0) -> DataFrame:
+def _in_cells(df: DataFrame, start: Column, end: Column) -> DataFrame:
+    """Two rows at most per range: its level, where cells are twice as long as one level below,
+    is the lowest at which it touches no more cells than two."""
+    first, last = _cell(start), F.greatest(_cell(start), _cell(end))
+    level = F.ceil(F.log2(F.greatest(last - first, F.lit(1)))).cast("int")
+    rows = df.withColumns({"_f": first, "_t": last, "_level": level})
+    cells = F.expr("sequence(shiftright(_f, _level), shiftright(_t, _level))")
+    return rows.withColumn("_cell", F.explode(cells)).drop("_f", "_t")
+
+
+def _at_cells(df: DataFrame, seconds: Column, ranges: DataFrame) -> DataFrame:
+    """The cells of a time at each level that the ranges have, a few in practice."""
+    levels = ranges.agg(F.collect_set("_level")).scalar()
+    rows = df.withColumn("_lowest", _cell(seconds)).withColumn("_level", F.explode(levels))
+    return rows.withColumn("_cell", F.expr("shiftright(_lowest, _level)")).drop("_lowest")
+
+
+def segment_at(segments: DataFrame, probes: DataFrame) -> DataFrame:
     """For each probe the first segment with start <= t < end; probes without one stay.
 
-    Joined on (episode, time bucket), so one long episode is spread over many tasks.
+    Dyadic cells: a segment is in two cells at most, of a level that fits its length, however
+    long it is; a probe is looked up once per level. Joined on (episode, level, cell), so one
+    long episode is spread over many tasks.
     """
     s = segments.where(F.col("duration_s") > 0).select(
         "episode_id",
@@ -70,47 +89,47 @@ def segment_at(segments: DataFrame, probes: DataFrame, width: float = 600.0) ->
         F.col("start_s").alias("_start"),
         (F.col("start_s") + F.col("duration_s")).alias("_end"),
     )
-    spans = _over_buckets(s, F.col("_start"), F.col("_end"), width)
-    asked = probes.withColumn("_bucket", _bucket(F.col("at_s"), width)).alias("p")
-    hit = (
-        (F.col("p.episode_id") == F.col("s.episode_id"))
-        & (F.col("p._bucket") == F.col("s._bucket"))
-        & (F.col("_start") <= F.col("at_s"))
-        & (F.col("at_s") < F.col("_end"))
-    )
+    spans = _in_cells(s, F.col("_start"), F.col("_end"))
+    asked = _at_cells(probes, F.col("at_s"), spans)
     found = F.when(F.col("s.seg_no").isNotNull(), F.struct("s.seg_no", "s.text"))
-    return (
-        asked.join(spans.alias("s"), hit, "left")
-        .groupBy(*[F.col(f"p.{c}") for c in probes.columns])
-        .agg(F.min(found).alias("_first"))
-        .select(*probes.columns, "_first.seg_no", "_first.text")
-    )
+    hit = _same_cell("p", "s") & (F.col("_start") <= F.col("at_s")) & (F.col("at_s") < F.col("_end"))
+    hits = asked.alias("p").join(spans.alias("s"), hit).select(*(f"p.{c}" for c in probes.columns), found.alias("_hit"))
+    # Probes without a hit come from the probes themselves: also those in tables without segments.
+    every = hits.unionByName(probes.withColumn("_hit", F.lit(None).cast(hits.schema["_hit"].dataType)))
+    first = every.groupBy(*probes.columns).agg(F.min("_hit").alias("_first"))
+    return first.select(*probes.columns, "_first.seg_no", "_first.text")
+
+
+def _same_cell(left: str, right: str) -> Column:
+    same = F.lit(True)
+    for column in ("episode_id", "_level", "_cell"):
+        same &= F.col(f"{left}.{column}") == F.col(f"{right}.{column}")
+    return same
 
 
-def segments_in_range(segments: DataFrame, ranges: DataFrame, width: float = 600.0) -> DataFrame:
+def segments_in_range(segments: DataFrame, ranges: DataFrame) -> DataFrame:
     """Pairs of range and segment that overlap; touching is not overlapping.
 
-    Both sides are spread over time buckets, and a pair is kept only in the bucket where
-    the later of the two begins, so it appears once.
+    Of two that overlap, either the segment begins in the range or the range in the segment: so
+    the begin of each is looked up in the dyadic cells of the other, and each pair appears once.
     """
     s = segments.withColumn("_end", F.col("start_s") + F.col("duration_s"))
-    spans = _over_buckets(s, F.col("start_s"), F.col("_end"), width).alias("s")
-    asked = _over_buckets(ranges, F.col("from_s"), F.col("to_s"), width).alias("r")
-    later = _bucket(F.greatest("from_s", "start_s"), width)
-    overlap = (
-        (F.col("r.episode_id") == F.col("s.episode_id"))
-        & (F.col("r._bucket") == F.col("s._bucket"))
-        & (F.col("start_s") < F.col("to_s"))
-        & (F.col("_end") > F.col("from_s"))
-        & (F.col("s._bucket") == later)
-    )
-    return asked.join(spans, overlap).select(
+    overlap = (F.col("start_s") < F.col("to_s")) & (F.col("_end") > F.col("from_s"))
+    asked = _in_cells(ranges, F.col("from_s"), F.col("to_s"))
+    begins = _at_cells(s, F.col("start_s"), asked)
+    spans = _in_cells(s, F.col("start_s"), F.col("_end"))
+    probes = _at_cells(ranges, F.col("from_s"), spans)
+    columns = [
         *[F.col(f"r.{c}") for c in ranges.columns],
-        "s.seg_no",
-        "s.text",
-        "s.start_s",
-        "s.duration_s",
+        *(f"s.{c}" for c in ("seg_no", "text", "start_s", "duration_s")),
+    ]
+    inside = begins.alias("s").join(
+        asked.alias("r"), _same_cell("r", "s") & overlap & (F.col("start_s") >= F.col("from_s"))
+    )
+    around = probes.alias("r").join(
+        spans.alias("s"), _same_cell("r", "s") & overlap & (F.col("start_s") < F.col("from_s"))
     )
+    return inside.select(*columns).unionByName(around.select(*columns))
 
 
 def segment_durations(
@@ -174,28 +193,37 @@ _TURN = rf"\[({_STAMP})\]{SPACE}*([^:]+):{SPACE}*"
 
 
 def _stamp_seconds(stamp: Column) -> Column:
-    parts = F.transform(F.split(stamp, ":"), lambda p: p.cast("int"))
-    long = parts[0] * 3600 + parts[1] * 60 + F.get(parts, F.lit(2))
-    return F.when(F.size(parts) == 3, long).otherwise(parts[0] * 60 + parts[1]).cast("double")
-
-
-def _with_next(items: Column) -> Column:
-    """Pairs of each element and the one behind it (null at the end), for lambdas that look
-    ahead: a lambda that indexed the array itself would compute it anew for every element."""
-    return F.arrays_zip(items, F.slice(items, F.lit(2), F.greatest(F.size(items), F.lit(1)) - 1))
-
-
-def _with_gaps(turns: Column) -> Column:
-    """Number structs of (text, start_s) and set each duration to the next start's gap."""
-    return F.transform(
-        _with_next(turns),
-        lambda s, i: F.struct(
-            i.alias("seg_no"),
-            s["0"]["text"].alias("text"),
-            s["0"]["start_s"].alias("start_s"),
-            F.coalesce(s["1"]["start_s"] - s["0"]["start_s"], F.lit(0.0)).alias("duration_s"),
+    numbers = F.regexp_extract_all(stamp, F.lit(r"\d+"), F.lit(0))
+    return F.aggregate(numbers, F.lit(0), lambda sum, n: sum * 60 + n.cast("int")).cast("double")
+
+
+def _with_gaps(df: DataFrame, turns: str) -> DataFrame:
+    """Number the array of structs (text, start_s) and set each duration to the next start's gap.
+
+    A column is made for every step, so that each is computed once: an expression that names
+    an array several times would compute it as often.
+    """
+    following = F.slice(F.col(f"{turns}.start_s"), F.lit(2), F.greatest(F.size(turns), F.lit(1)) - 1)
+    timed = df.withColumn("_pairs", F.arrays_zip(F.col(turns).alias("turn"), following.alias("next")))
+    return timed.withColumn(
+        turns,
+        F.transform(
+            "_pairs",
+            lambda s, i: F.struct(
+                i.cast("bigint").alias("seg_no"),
+                s["turn"]["text"].alias("text"),
+                s["turn"]["start_s"].alias("start_s"),
+                F.coalesce(s["next"] - s["turn"]["start_s"], F.lit(0.0)).alias("duration_s"),
+            ),
         ),
-    )
+    ).drop("_pairs")
+
+
+def _rows_of(df: DataFrame, turns: str, *keep: str) -> DataFrame:
+    """One row per element. The outer form, for the inner one would first compute the array to
+    see whether it has any."""
+    rows = df.select(*keep, F.explode_outer(turns).alias("_s")).where("_s is not null")
+    return rows.select(*keep, *(f"_s.{c}" for c in ("seg_no", "text", "start_s", "duration_s")))
 
 
 def transcript_summary(text: Column) -> Column:
@@ -204,84 +232,83 @@ def transcript_summary(text: Column) -> Column:
     return strip(told)
 
 
-def transcript_turns(text: Column) -> Column:
-    """``[MM:SS] Speaker: text`` runs as an array of segments.
+def parse_transcript(df: DataFrame, *keep: str) -> DataFrame:
+    """Segments of ``[MM:SS] Speaker: text`` runs: keep columns, seg_no, text, start_s, duration_s.
 
-    The speaker may be any text without a colon. Without a single run the whole text is
-    one segment at 0.
+    The speaker may be any text without a colon. Without a single run the whole text is one
+    segment at 0. Each text is matched and cut once, in time proportional to its stamps; no
+    row leaves its task.
     """
-    whole = strip(text)
-    said = F.split(whole, _TURN)
-    openings = F.arrays_zip(
-        F.regexp_extract_all(whole, F.lit(_TURN), F.lit(1)),
-        F.regexp_extract_all(whole, F.lit(_TURN), F.lit(2)),
-        F.slice(said, F.lit(2), F.size(said)),
-    )
-    runs = F.transform(
-        openings,
-        lambda o: F.struct(
-            F.concat(
-                F.lit("["), o["0"], F.lit("] "), strip(o["1"]), F.lit(": "), strip(o["2"])
-            ).alias("text"),
-            _stamp_seconds(o["0"]).alias("start_s"),
-        ),
-    )
-    alone = F.array(F.struct(whole.alias("text"), F.lit(0.0).alias("start_s")))
-    timed = _with_gaps(F.when(F.regexp_like(whole, F.lit(_TURN)), runs).otherwise(alone))
+    whole = df.select(*keep, strip(F.col("text")).alias("_whole"))
+    cut = whole.select(
+        *keep,
+        # What opens a run, none for what stands before the first, and what was said behind it.
+        F.concat(F.array(F.lit("")), F.regexp_extract_all("_whole", F.lit(_TURN), F.lit(0))).alias("_marks"),
+        F.split("_whole", _TURN).alias("_said"),
+    )
+    cut = cut.withColumn("_runs", F.arrays_zip(F.col("_marks").alias("mark"), F.col("_said").alias("said")))
+    runs = cut.withColumn(
+        "_runs", F.when(F.size("_runs") > 1, F.slice("_runs", F.lit(2), F.size("_runs"))).otherwise(F.col("_runs"))
+    )
+
+    def turn(run: Column) -> Column:
+        mark = run["mark"]
+        stamp = F.regexp_extract(mark, _STAMP, 0)
+        speaker = strip(F.regexp_extract(mark, rf"(?s)\]([^:]+):{SPACE}*$", 1))
+        told = F.concat(F.lit("["), stamp, F.lit("] "), speaker, F.lit(": "), strip(run["said"]))
+        return F.struct(
+            F.when(mark == "", run["said"]).otherwise(told).alias("text"), _stamp_seconds(stamp).alias("start_s")
+        )
+
+    timed = _with_gaps(runs.withColumn("_turns", F.transform("_runs", turn)), "_turns")
     # Stamps out of order: the transcript is sorted after durations are set, as a stable sort.
-    return F.transform(
-        F.array_sort(
-            F.transform(
-                timed, lambda s: F.struct(s["start_s"].alias("start_s"), s["seg_no"], s.alias("s"))
-            )
-        ),
-        lambda r: r["s"],
-    )
+    ranked = F.transform("_turns", lambda s: F.struct(s["start_s"].alias("start_s"), s["seg_no"], s.alias("s")))
+    ordered = timed.withColumn("_turns", F.transform(F.array_sort(ranked), lambda r: r["s"]))
+    rows = _rows_of(ordered.withColumn("_turns", F.transform("_turns", _renumbered)), "_turns", *keep)
+    return rows
+
+
+def _renumbered(segment: Column, at: Column) -> Column:
+    return segment.withField("seg_no", at.cast("bigint"))
 
 
-def transcript_lines(text: Column) -> Column:
+def parse_transcript_lines(df: DataFrame, *keep: str) -> DataFrame:
     """Line variant: a stamp at the start of a line opens a segment that later lines join.
 
     ``Speaker n:`` is removed, text before the first stamp is a segment at 0, and a stamp
-    without text vanishes.
+    without text vanishes; a text of nothing else is one segment at 0.
     """
     opening = rf"(?<![^\n])(?=\[{_STAMP}\])"
-    blocks = F.filter(F.split(text, opening), lambda b: b != "")
+    cut = df.select(*keep, F.col("text").alias("_text"), F.split("text", opening).alias("_blocks"))
+    stamped = cut.withColumn(
+        "_blocks",
+        F.transform(
+            F.filter("_blocks", lambda b: b != ""),
+            lambda b: F.struct(
+                F.regexp_extract(b, rf"^\[({_STAMP})\]", 1).alias("stamp"),
+                F.regexp_extract_all(F.regexp_replace(b, rf"^\[{_STAMP}\]", ""), F.lit("[^\n]*"), F.lit(0)).alias("lines"),
+            ),
+        ),
+    )
 
     def block(b: Column) -> Column:
-        stamp = F.regexp_extract(b, rf"^\[({_STAMP})\]", 1)
-        lines = F.split(F.regexp_replace(b, rf"^\[{_STAMP}\]", ""), "\n")
         said = F.transform(
-            lines,
+            b["lines"],
             lambda line, i: F.when(
-                (i == 0) & (stamp != ""),
+                (i == 0) & (b["stamp"] != ""),
                 F.regexp_replace(strip(line), rf"^[Ss]peaker{SPACE}*\d*{SPACE}*:?{SPACE}*", ""),
             ).otherwise(strip(line)),
         )
         return F.struct(
             strip(F.array_join(F.filter(said, lambda x: x != ""), " ")).alias("text"),
-            F.when(stamp == "", F.lit(0.0)).otherwise(_stamp_seconds(stamp)).alias("start_s"),
+            _stamp_seconds(b["stamp"]).alias("start_s"),
         )
 
-    spoken = F.filter(F.transform(blocks, block), lambda s: s["text"] != "")
-    alone = F.array(F.struct(strip(text).alias("text"), F.lit(0.0).alias("start_s")))
-    return _with_gaps(F.when(F.size(spoken) > 0, spoken).otherwise(alone))
-
-
-def explode_segments(df: DataFrame, turns: Column, *keep: str) -> DataFrame:
-    """Long form of an array of segments."""
-    rows = df.select(*keep, F.posexplode(turns).alias("seg_no", "_s"))
-    return rows.select(
-        *keep, F.col("seg_no").cast("bigint").alias("seg_no"), "_s.text", "_s.start_s", "_s.duration_s"
-    )
-
-
-def parse_transcript(df: DataFrame, *keep: str) -> DataFrame:
-    return explode_segments(df, transcript_turns(F.col("text")), *keep)
-
-
-def parse_transcript_lines(df: DataFrame, *keep: str) -> DataFrame:
-    return explode_segments(df, transcript_lines(F.col("text")), *keep)
+    spoken = stamped.withColumn("_turns", F.transform("_blocks", block))
+    spoken = spoken.withColumn("_turns", F.filter("_turns", lambda s: s["text"] != ""))
+    alone = F.array(F.struct(strip(F.col("_text")).alias("text"), F.lit(0.0).alias("start_s")))
+    told = spoken.withColumn("_turns", F.when(F.size("_turns") == 0, alone).otherwise(F.col("_turns")))
+    return _rows_of(_with_gaps(told, "_turns"), "_turns", *keep)
 
 
 def text_as_transcript(texts: DataFrame) -> tuple[DataFrame, DataFrame]:

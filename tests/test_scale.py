@@ -80,6 +80,66 @@ def test_close_candidates_are_few_and_miss_none(spark):
                 assert (a, s) in found
 
 
+def test_a_common_first_word_brings_no_names_together(spark):
+    from difflib import SequenceMatcher
+
+    rng = random.Random(5)
+    word = lambda n: "".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=n))
+    stored = [f"the-great-show-{word(rng.randint(6, 12))}" for _ in range(1500)]
+    asked = [s.replace("great", "graet") if i % 3 else f"the-great-shaw-{word(9)}" for i, s in enumerate(stored)]
+    left = spark.createDataFrame([(a,) for a in asked], "_slug string").distinct()
+    right = spark.createDataFrame([(s,) for s in stored], "_key string").distinct()
+    found = {tuple(r) for r in feeds.close_candidates(left, right).collect()}
+    assert len(found) < 0.05 * 1500 * 1500
+    close = lambda s, a: SequenceMatcher(None, s, a).ratio() >= feeds.CLOSE_RATIO
+    for i, (a, s) in enumerate(zip(asked, stored, strict=True)):
+        assert (a, s) in found or not close(s, a), i
+    for a in rng.sample(asked, 40):
+        assert {(a, s) for s in stored if close(s, a)} <= found
+
+
+def test_short_and_odd_names_miss_no_close_one(spark):
+    from difflib import SequenceMatcher
+
+    rng = random.Random(6)
+    names = sorted({"".join(rng.choices("ab-é", k=rng.randint(1, 14))) for _ in range(250)} | {"a" * 30, "ab" * 40})
+    df = spark.createDataFrame([(n,) for n in names], "_slug string")
+    found = {tuple(r) for r in feeds.close_candidates(df, df.withColumnRenamed("_slug", "_key")).collect()}
+    for a in names:
+        for s in names:
+            if SequenceMatcher(None, s, a).ratio() >= feeds.CLOSE_RATIO:
+                assert (a, s) in found
+
+
+def test_segments_of_any_length_take_two_cells(spark):
+    ends = [1.0, 59.0, 61.0, 3600.0, 3.2e7, 1e12, float("inf")]
+    data = [("e", i, f"t{i}", 30.0 * i, d) for i, d in enumerate(ends)] + [("e", 99, "zero", 5.0, 0.0)]
+    segments = spark.createDataFrame(data, "episode_id string, seg_no bigint, text string, start_s double, duration_s double")
+    cells = tr._in_cells(segments, F.col("start_s"), F.col("start_s") + F.col("duration_s"))
+    assert max(r["count"] for r in cells.groupBy("seg_no").count().collect()) <= 2
+    times = [0.0, 0.5, 1.0, 29.0, 45.0, 100.0, 119.9, 3000.0, 1e7, 1e11, 5e12]
+    probes = spark.createDataFrame([("e", t) for t in [*times, -1.0]], "episode_id string, at_s double")
+    got = {r["at_s"]: r["seg_no"] for r in tr.segment_at(segments, probes).collect()}
+    for t in [*times, -1.0]:
+        assert got[t] == min((n for _, n, _, s, d in data if d > 0 and s <= t < s + d), default=None)
+    spans = [(a, b) for a in times for b in [*times, float("inf"), -5.0]]
+    ranges = spark.createDataFrame([("e", *x) for x in spans], "episode_id string, from_s double, to_s double")
+    pairs = sorted((r["from_s"], r["to_s"], r["seg_no"]) for r in tr.segments_in_range(segments, ranges).collect())
+    want = sorted((a, b, n) for a, b in spans for _, n, _, s, d in data if s < b and s + d > a)
+    assert pairs == want
+
+
+def test_transcripts_and_headings_are_cut_once_and_stay_in_their_task(spark):
+    from castloom.operators import results
+
+    df = spark.createDataFrame([(1, "x")], "episode_id int, text string")
+    for parsed in (tr.parse_transcript(df, "episode_id"), tr.parse_transcript_lines(df, "episode_id")):
+        plan = parsed._jdf.queryExecution().optimizedPlan().toString()
+        assert plan.count("split(") == 1 and plan.count("regexp_extract_all(") <= 3
+    plan = results.headings(df, F.col("text"), "episode_id")._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan
+
+
 def test_many_clashing_names_take_no_quadratic_step(spark, cut):
     n = 3000
     names = [("show" if i % 2 else f"show-{i + 1}") for i in range(n)]
