@@ -2,17 +2,24 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from castloom.operators.ordered import positions
-from castloom.session import tune
+from castloom.session import shared_dir, tune
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return tune(spark).read.parquet(f"{folder}/{name}.parquet")
 
 
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new folder that all executors share."""
+    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+
+
 def usage_id(number: Column) -> Column:
     """An id as ledgers have them: a UUID, here made from the number of the row."""
     return F.regexp_replace(

@@ -7,8 +7,10 @@ from datetime import datetime
 from pyspark.sql import functions as F
 
 from castloom.catalog import bindings as b
-from castloom.catalog.bindings import oracle
+from castloom.catalog.bindings import oracle, scratch
 from castloom.operators import costs
+from castloom.operators.rows import union_rows
+from castloom.sinks import versions
 
 _PRICED = """
 SELECT u.*, CASE
@@ -89,12 +91,28 @@ def session_cost(spark, folder):
 def append_usage(spark, folder):
     rows = _ledger(spark, folder)
     number = F.col("position")
-    grown = costs.append_usage(rows.where(number % 3 != 0), rows.where(number % 2 == 0))
-    return grown.groupBy("provider").agg(
+    return _provider_counts(costs.append_usage(rows.where(number % 3 != 0), rows.where(number % 2 == 0)))
+
+
+def _provider_counts(rows):
+    return rows.groupBy("provider").agg(
         F.count(F.lit(1)).alias("records"), F.sum("input_tokens").alias("input_tokens")
     )
 
 
+def store_ledger(spark, folder):
+    """Each version of a ledger on disk after two writes, the second of them sent twice, with a
+    writer between them that is lost before its commit."""
+    rows, path = _ledger(spark, folder), scratch(spark, "ledger")
+    table = versions.ledger_table(spark, path)
+    versions.append_ledger(rows.where("position % 3 <> 0"), path, writer="worker", number=0)
+    table.stage(rows)
+    for batch in (rows.where("position % 2 = 0"), rows):
+        versions.append_ledger(batch, path, writer="worker", number=1)
+    found = [_provider_counts(table.read(v)).withColumn("version", F.lit(v)) for v in table.versions()]
+    return union_rows(*found)
+
+
 def _priced_results(spark, folder):
     return b.results(spark, folder).withColumn("cost_known", F.col("provider") != "codex")
 
@@ -123,6 +141,7 @@ QUERIES = {
     "recent_totals": recent_totals,
     "session_cost": session_cost,
     "append_usage": append_usage,
+    "store_ledger": store_ledger,
     "usage_from_results": usage_from_results,
     "usage_from_transcripts": usage_from_transcripts,
 }
@@ -183,6 +202,13 @@ FROM grown GROUP BY provider""",
         grown="""
 SELECT * FROM old UNION ALL SELECT * FROM ledger l WHERE position % 2 = 0
 AND NOT EXISTS (SELECT 1 FROM old o WHERE o.usage_id = l.usage_id)""",
+    ),
+    "store_ledger": _sql(
+        """
+SELECT provider, count(*) AS records, CAST(sum(input_tokens) AS BIGINT) AS input_tokens, 0::INT AS version
+FROM ledger WHERE position % 3 <> 0 GROUP BY provider
+UNION ALL SELECT provider, count(*), CAST(sum(input_tokens) AS BIGINT), 1::INT
+FROM ledger WHERE position % 3 <> 0 OR position % 2 = 0 GROUP BY provider""",
     ),
     "usage_from_results": oracle(
         """

@@ -2,17 +2,15 @@
 
 from __future__ import annotations
 
-import uuid
 from datetime import datetime
 
 from pyspark.sql import functions as F
 
 from castloom.catalog import bindings as b
-from castloom.catalog.bindings import oracle, table
+from castloom.catalog.bindings import oracle, scratch, table
 from castloom.catalog.costs import _PRICED, _ledger
 from castloom.operators import feeds as fd
 from castloom.operators import transcripts as tr
-from castloom.session import shared_dir
 from castloom.sinks import notes as sink
 from castloom.sources import feeds, files, templates
 from castloom.streaming import streams
@@ -20,10 +18,6 @@ from castloom.streaming import streams
 AS_OF = datetime(2025, 1, 1)
 
 
-def _scratch(spark, name):
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-
-
 def _escaped(column):
     for raw, safe in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;")):
         column = F.replace(column, F.lit(raw), F.lit(safe))
@@ -63,7 +57,7 @@ def _feed_files(spark, folder):
     ).otherwise(
         F.concat(F.lit('<feed xmlns="http://www.w3.org/2005/Atom"><title>Feed '), "n", F.lit("</title>"), "items", F.lit("</feed>"))
     )
-    path = _scratch(spark, "feeds")
+    path = scratch(spark, "feeds")
     docs.select("n", body.alias("value")).repartition(F.col("n")).write.partitionBy("n").text(path)
     return path
 
@@ -80,7 +74,7 @@ def read_feeds(spark, folder):
 
 def read_cut_feeds(spark, folder):
     """RSS documents that break off in their last item, which is lost with them."""
-    path, cut = _feed_files(spark, folder), _scratch(spark, "cut")
+    path, cut = _feed_files(spark, folder), scratch(spark, "cut")
     texts = spark.read.text(path, wholetext=True).where("n % 2 = 0")
     broken = F.regexp_replace("value", r"(?s)</enclosure>?\s*|</item></channel></rss>.*$", "")
     texts.select("n", broken.alias("value")).repartition(F.col("n")).write.partitionBy("n").text(cut)
@@ -90,7 +84,7 @@ def read_cut_feeds(spark, folder):
 def read_texts(spark, folder):
     """Conversations written as text files, one to a folder, and read back."""
     texts = tr.full_text(b.segments(spark, folder), "\n")
-    path = _scratch(spark, "texts")
+    path = scratch(spark, "texts")
     texts.repartition(F.col("episode_id")).select("episode_id", F.col("text").alias("value")).write.partitionBy(
         "episode_id"
     ).option("lineSep", "\n").text(path)
@@ -110,7 +104,7 @@ def read_notes(spark, folder):
         F.col("source").alias("podcast"), k.alias("episode"),
         F.when(k % 2 == 0, F.concat(front, text)).otherwise(text).alias("value"),
     )
-    path = _scratch(spark, "notes")
+    path = scratch(spark, "notes")
     notes.repartition("podcast", "episode").write.partitionBy("podcast", "episode").text(path)
     read = files.read_notes(spark, path, pattern="*.txt")
     return read.select("podcast_dir", "episode_dir", "version", F.sha2("content", 256).alias("content_hash"))
@@ -118,7 +112,7 @@ def read_notes(spark, folder):
 
 def read_templates(spark, folder):
     """One template file a nation; one of them takes the place of a built-in template."""
-    k, path = F.col("n_nationkey"), _scratch(spark, "templates")
+    k, path = F.col("n_nationkey"), scratch(spark, "templates")
     name = F.when(k == 3, F.lit("summary")).otherwise(F.lower("n_name"))
     text = F.concat(
         F.lit("name: '"), name, F.lit("'\nversion: '"), k, F.lit(".1'\ndescription: d\nsystem_prompt: s\npriority: "), k,
@@ -143,7 +137,7 @@ def _read_ledger(spark, folder):
         F.date_format("used_at", "yyyy-MM-dd'T'HH:mm:ss").alias("timestamp"),
     )
     arrays = rows.groupBy(F.floor(number / 1000).alias("part")).agg(F.collect_list(record).alias("rows"))
-    path = _scratch(spark, "usage")
+    path = scratch(spark, "usage")
     arrays.repartition(F.col("part")).select("part", F.to_json("rows").alias("value")).write.partitionBy("part").text(path)
     return files.read_usage(spark, path)
 
@@ -164,7 +158,7 @@ def _read_changes(spark, folder):
 
     before = _stored(spark, folder)
     after = before.where(F.col("feed_no") % 7 != 0)
-    path = _scratch(spark, "audit")
+    path = scratch(spark, "audit")
     sink.append_audit(fd.feed_changes(before, after), path, datetime(2024, 5, 6))
     broken = before.where(F.col("feed_no") % 9 == 0)
     broken.select(F.concat(F.lit('{"timestamp": "broken '), "feed_no").alias("value")).write.mode("append").text(path)
@@ -206,7 +200,7 @@ def _note_rows(spark, folder):
 def write_notes(spark, folder):
     """Notes written, then every tenth episode written again over them."""
     rows = _note_rows(spark, folder)
-    path = _scratch(spark, "notes")
+    path = scratch(spark, "notes")
     sink.write_notes(rows, path)
     again = rows.where(F.col("episode_slug").endswith("0")).withColumn("cost_usd", F.lit(2.0))
     sink.write_notes(again, path, overwrite=True)
@@ -223,13 +217,16 @@ def load_meta(spark, folder):
     return files.load_meta(rows)
 
 
+#: Files of a delivery, so that none of them is empty in a small table.
+MOST_FILES = 64
+
 _EVENTS = "event_id bigint, ts timestamp, user_id bigint, event_type string, value double, late boolean"
 
 
 def _received(spark, folder):
     """The event table in four deliveries by time. Every fifth record comes twice, the second
     time one delivery later; every 97th comes with the last delivery only, long overdue."""
-    path = _scratch(spark, "events")
+    path = scratch(spark, "events")
     events = table(spark, folder, "events").select(
         "event_id", F.col("ts").cast("timestamp").alias("ts"), "user_id", "event_type", "value",
         (F.col("event_id") % 97 == 3).alias("late"),
@@ -246,11 +243,16 @@ def _received(spark, folder):
         F.lit(False).alias("late"), F.lit(4).alias("part"),
     )
     every = parts.unionByName(again).unionByName(mark)
+    # As many files as the cluster has tasks, and one micro-batch of them per delivery.
     for n in range(5):
-        every.where(F.col("part") == n).drop("part").coalesce(1).write.mode("append").parquet(path)
+        every.where(F.col("part") == n).drop("part").repartition(_files(spark)).write.mode("append").parquet(path)
     return path
 
 
+def _files(spark):
+    return min(int(spark.conf.get("spark.sql.shuffle.partitions")), MOST_FILES)
+
+
 def _usage_of(events):
     e = F.col("event_id")
     return events.select(
@@ -265,7 +267,7 @@ def _usage_of(events):
 
 
 def _usage_stream(spark, path):
-    return _usage_of(streams.file_stream(spark, path, _EVENTS, files_per_batch=1))
+    return _usage_of(streams.file_stream(spark, path, _EVENTS, files_per_batch=_files(spark)))
 
 
 def _ledger_and_late(spark, path):
@@ -287,17 +289,33 @@ def stream_costs(spark, folder):
     _, late = _ledger_and_late(spark, path)
     emitted = streams.run_to_table(streams.stream_costs(_usage_stream(spark, path), "6 hours", "3 hours"))
     rows = streams.with_late_costs(emitted, late, "6 hours", "3 hours").where("provider <> 'mark'")
-    return rows.select(
+    return _told(rows)
+
+
+def _told(windows):
+    return windows.select(
         F.date_format("window_start", "yyyy-MM-dd HH:mm:ss").alias("window_start"),
         "provider", "records", "tokens", "cost_usd",
     )
 
 
+def stream_cost_updates(spark, folder):
+    """The windows of a stream in update mode, kept in a table; the run is repeated once, as
+    after a lost driver."""
+    path = _received(spark, folder)
+    _, late = _ledger_and_late(spark, path)
+    place = scratch(spark, "costs")
+    for _ in range(2):
+        windows = streams.run_costs(_usage_stream(spark, path), place, "6 hours", "3 hours")
+    rows = streams.with_late_costs(windows.read(), late, "6 hours", "3 hours").where("provider <> 'mark'")
+    return _told(rows)
+
+
 def stream_jobs(spark, folder):
     """A job per user; a sign-up ends it."""
     kind = F.col("event_type")
-    events = streams.file_stream(spark, _received(spark, folder), _EVENTS, files_per_batch=1)
-    progress = events.where("NOT late AND event_type <> 'mark'").select(
+    events = streams.file_stream(spark, _received(spark, folder), _EVENTS, files_per_batch=_files(spark))
+    progress = events.where("event_type <> 'mark'").select(
         F.col("user_id").alias("job_id"), "ts", F.col("event_id").alias("seq"),
         F.when(kind == "signup", "succeeded").otherwise("running").alias("status"), kind.alias("stage"),
     )
@@ -318,6 +336,7 @@ QUERIES = {
     "load_meta": load_meta,
     "stream_usage": stream_usage,
     "stream_costs": stream_costs,
+    "stream_cost_updates": stream_cost_updates,
     "stream_jobs": stream_jobs,
 }
 
@@ -328,6 +347,15 @@ _USED = """SELECT event_id, regexp_replace(md5(CAST(event_id AS VARCHAR)),
        CAST(floor(value * 50) AS BIGINT) AS output_tokens, event_id % 8 / 8.0::DOUBLE AS cost_usd, ts
 FROM events"""
 
+_COSTS = oracle(
+    """SELECT strftime(to_timestamp(w * 10800) AT TIME ZONE 'UTC', '%Y-%m-%d %H:%M:%S') AS window_start,
+   provider, count(*) AS records, CAST(sum(input_tokens + output_tokens) AS BIGINT) AS tokens,
+   sum(cost_usd) AS cost_usd
+FROM (SELECT *, unnest([s // 10800, s // 10800 - 1]) AS w FROM (
+  SELECT *, epoch(date_trunc('second', ts))::BIGINT AS s FROM used)) GROUP BY w, provider""",
+    used=_USED,
+)
+
 ORACLES = {
     "read_feeds": oracle(
         """SELECT 'Feed ' || page_id // 10 AS feed, page_id % 10 + 1 AS position, 'Talk ' || page_id AS title,
@@ -365,23 +393,21 @@ FROM used, watermark""",
   SELECT event_id, epoch_us(ts) AS us, min(epoch_us(ts)) OVER () AS a, max(epoch_us(ts)) OVER () AS z FROM events)
 WHERE event_id % 97 <> 3 AND floor((us - a) * 4 / (z - a + 1)) < 2""",
     ),
-    "stream_costs": oracle(
-        """SELECT strftime(to_timestamp(w * 10800) AT TIME ZONE 'UTC', '%Y-%m-%d %H:%M:%S') AS window_start,
-       provider, count(*) AS records, CAST(sum(input_tokens + output_tokens) AS BIGINT) AS tokens,
-       sum(cost_usd) AS cost_usd
-FROM (SELECT *, unnest([s // 10800, s // 10800 - 1]) AS w FROM (
-  SELECT *, epoch(date_trunc('second', ts))::BIGINT AS s FROM used)) GROUP BY w, provider""",
-        used=_USED,
-    ),
+    "stream_costs": _COSTS,
+    "stream_cost_updates": _COSTS,
     "stream_jobs": oracle(
         """SELECT job_id, part AS batch, CASE WHEN stage = 'signup' THEN 'succeeded' ELSE 'running' END AS status, stage
 FROM (SELECT *, lag(stage) OVER (PARTITION BY job_id ORDER BY part) AS before FROM (
-  SELECT user_id AS job_id, part, arg_max(event_type, (ts, event_id)) AS stage FROM alive GROUP BY ALL))
+  SELECT user_id AS job_id, part, CASE WHEN part = ended THEN 'signup'
+         ELSE arg_max(newest, seen) OVER (PARTITION BY user_id ORDER BY part) END AS stage
+  FROM news LEFT JOIN ends USING (user_id) WHERE ended IS NULL OR part <= ended))
 WHERE before IS DISTINCT FROM stage""",
-        parts="""SELECT *, CAST(floor((epoch_us(ts) - a) * 4 / (z - a + 1)) AS INT) AS part FROM events,
-       (SELECT min(epoch_us(ts)) AS a, max(epoch_us(ts)) AS z FROM events) WHERE event_id % 97 <> 3""",
-        alive="""SELECT * FROM parts p WHERE NOT EXISTS (SELECT 1 FROM parts f WHERE f.user_id = p.user_id
-       AND f.event_type = 'signup' AND (f.ts, f.event_id) < (p.ts, p.event_id))""",
+        parts="""SELECT *, CASE WHEN event_id % 97 = 3 THEN 3
+         ELSE CAST(floor((epoch_us(ts) - a) * 4 / (z - a + 1)) AS INT) END AS part FROM events,
+       (SELECT min(epoch_us(ts)) AS a, max(epoch_us(ts)) AS z FROM events)""",
+        ends="SELECT user_id, min(part) AS ended FROM parts WHERE event_type = 'signup' GROUP BY user_id",
+        news="""SELECT user_id, part, max((ts, event_id)) AS seen, arg_max(event_type, (ts, event_id)) AS newest
+FROM parts GROUP BY ALL""",
     ),
     "read_cut_feeds": oracle(
         """SELECT page_id % 10 + 1 AS position, 'Talk ' || page_id AS title, url AS link

@@ -7,11 +7,12 @@ from datetime import date, datetime
 from pyspark.sql import functions as F
 
 from castloom.catalog import bindings as b
-from castloom.catalog.bindings import oracle, table
+from castloom.catalog.bindings import oracle, scratch, table
 from castloom.catalog.functions import _SP
 from castloom.operators import cache as ca
 from castloom.operators import library as lib
 from castloom.operators import rows as rw
+from castloom.sinks import versions
 
 AS_OF = datetime(2024, 2, 20)
 
@@ -197,10 +198,23 @@ def step_states(spark, folder):
 
 
 def upsert_notes(spark, folder):
+    return lib.upsert_notes(*_upserts(spark, folder))
+
+
+def _upserts(spark, folder):
     notes = b.notes(spark, folder).select("note_id", "job_id", "title")
     batch = notes.where(F.col("job_id") % 3 == 0).withColumn("title", F.lit("New"))
     more = batch.withColumns({"job_id": F.col("job_id") + 1, "note_id": -F.col("note_id")})
-    return lib.upsert_notes(notes, batch.unionByName(more))
+    return notes, batch.unionByName(more)
+
+
+def store_notes(spark, folder):
+    """The same, written as two versions of a table; with what the first one holds."""
+    path = scratch(spark, "notes")
+    for batch in _upserts(spark, folder):
+        versions.put_notes(batch, path)
+    table = versions.Table(spark, path, "job_id")
+    return rw.union_rows(*(table.read(v).withColumn("version", F.lit(v)) for v in table.versions()))
 
 
 def merge_files(spark, folder):
@@ -271,6 +285,17 @@ def put_cache(spark, folder):
     return ca.put_cache(old, new).select("cache_key", "value")
 
 
+def store_cache(spark, folder):
+    """Entries put into a table in two batches; the newest of each key stays."""
+    rows = b.cache_entries(spark, folder).select(
+        (F.col("entry_id") % 300).alias("cache_key"), F.col("entry_id").alias("value"), "cached_at"
+    )
+    path = scratch(spark, "cache")
+    for batch in (rows.where("value % 2 = 0"), rows.where("value % 2 = 1")):
+        versions.store_cache(batch, path)
+    return versions.Table(spark, path, "cache_key").read().select("cache_key", "value")
+
+
 def _media(spark, folder):
     return b.cache_entries(spark, folder).select(
         F.col("ext").alias("cache"), F.col("entry_id").alias("file_id"), "size_bytes", "cached_at",
@@ -351,6 +376,7 @@ QUERIES = {
     "stage_changes": stage_changes,
     "step_states": step_states,
     "upsert_notes": upsert_notes,
+    "store_notes": store_notes,
     "merge_files": merge_files,
     "merge_meta": merge_meta,
     "cache_stats": cache_stats,
@@ -358,6 +384,7 @@ QUERIES = {
     "media_stats": media_stats,
     "drop_expired": drop_expired,
     "put_cache": put_cache,
+    "store_cache": store_cache,
     "evict": evict,
     "evict_all": evict_all,
     "evict_report": evict_report,
@@ -608,10 +635,22 @@ FROM cache""",
         "cache_entries",
         cache=_CACHE,
     ),
+    "store_notes": oracle(
+        """SELECT note_id, job_id, title, 0::INT AS version FROM notes
+UNION ALL SELECT note_id, job_id, title, 1 FROM notes n WHERE job_id % 3 <> 0 AND NOT EXISTS (
+  SELECT 1 FROM notes m WHERE m.job_id % 3 = 0 AND m.job_id + 1 = n.job_id)
+UNION ALL SELECT note_id, job_id, 'New', 1 FROM notes WHERE job_id % 3 = 0
+UNION ALL SELECT -note_id, job_id + 1, 'New', 1 FROM notes WHERE job_id % 3 = 0""",
+        "notes",
+    ),
     "put_cache": oracle(
         """SELECT entry_id % 300 AS cache_key, max(entry_id) AS value FROM cache_entries GROUP BY 1""",
         "cache_entries",
     ),
+    "store_cache": oracle(
+        """SELECT entry_id % 300 AS cache_key, max(entry_id) AS value FROM cache_entries GROUP BY 1""",
+        "cache_entries",
+    ),
     "evict": oracle(
         "SELECT cache, file_id, reason FROM evicted",
         "cache_entries",

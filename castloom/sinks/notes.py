@@ -110,9 +110,3 @@ def append_audit(changes: DataFrame, path: str, at, user: str = "unknown") -> No
     )
     told.write.mode("append").json(path)
 
-
-def append_ledger(batch: DataFrame, path: str) -> None:
-    """Append ledger rows whose id is not stored yet."""
-    stored = read_note_table(batch.sparkSession, path)
-    fresh = batch if stored is None else new_rows(batch, stored, "usage_id")
-    fresh.write.mode("append").parquet(path)

@@ -10,6 +10,7 @@ from __future__ import annotations
 import uuid
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -17,6 +18,7 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from castloom.operators.rows import keep_last, new_rows
 from castloom.session import shared_dir
+from castloom.sinks.versions import Table
 
 FINAL = ("succeeded", "failed", "cancelled")
 
@@ -56,7 +58,8 @@ def stream_costs(
 ) -> DataFrame:
     """Windows of a stream of usage in which a record delivered twice counts once.
 
-    Run in append mode: a window comes out once, when the watermark has passed its end.
+    In append mode a window comes out once, when the watermark has passed its end; in update
+    mode (``run_costs``) whenever it has changed.
     """
     return window_costs(stream_usage(usage, watermark), width, slide)
 
@@ -82,8 +85,8 @@ def stream_jobs(progress: DataFrame, watermark: str = "1 hour", idle: str = "1 d
     ``progress`` has (job_id, ts, seq, status, stage); rows of a job may arrive in any order
     and more than once. A repeat emits nothing. The first final status ends a job: rows behind
     it emit nothing. Its state, as that of a job without news, goes ``idle`` after its last
-    row. Within a micro-batch the newest row and the first final one are picked as the rows
-    pass by, so a busy job needs no memory for them.
+    row. Within a micro-batch the newest row and the first final one are picked from each Arrow
+    batch, so a busy job needs no memory for its rows.
     """
     patience = int(pd.Timedelta(idle).total_seconds() * 1000)
 
@@ -100,10 +103,14 @@ def stream_jobs(progress: DataFrame, watermark: str = "1 hour", idle: str = "1 d
             return
         newest, ended = before, None
         for frame in frames:
-            for row in frame[["ts", "seq", "status", "stage"]].itertuples(index=False, name=None):
-                newest = row if newest is None or row[:2] > newest[:2] else newest
-                if row[2] in FINAL and (ended is None or row[:2] < ended[:2]):
-                    ended = row
+            frame = frame[["ts", "seq", "status", "stage"]]
+            order = np.lexsort((frame["seq"], frame["ts"]))
+            row = tuple(frame.iloc[order[-1]])
+            newest = row if newest is None or row[:2] > newest[:2] else newest
+            final = order[frame["status"].isin(FINAL).to_numpy()[order]]
+            if len(final):
+                row = tuple(frame.iloc[final[0]])
+                ended = row if ended is None or row[:2] < ended[:2] else ended
         now = ended or newest
         state.update((now[0], int(now[1]), now[2], now[3]))
         state.setTimeoutTimestamp(
@@ -145,6 +152,37 @@ def run_to_table(stream: DataFrame, mode: str = "append") -> DataFrame:
     return spark.read.schema(stream.schema.add("batch", "integer")).parquet(f"{base}/out")
 
 
+def run_costs(
+    usage: DataFrame, path: str, width: str = "1 hour", slide: str | None = None,
+    watermark: str = "1 hour", checkpoint: str | None = None,
+) -> Table:
+    """Costs in time windows as a table that is right after each micro-batch, in update mode.
+
+    Each micro-batch replaces the windows it changed, as one version of the table at ``path``.
+    The batch number is in the version: a micro-batch run again after a failure changes
+    nothing, and neither does a whole run again from the same ``checkpoint``.
+    """
+    table = Table(usage.sparkSession, path, ["window_start", "provider"])
+    key = table.key
+
+    def replace(stored: DataFrame, rows: DataFrame) -> DataFrame:
+        return new_rows(stored, rows, key).unionByName(rows)
+
+    def store(rows: DataFrame, batch: int) -> None:
+        table.merge(rows, replace, writer="costs", number=batch)
+
+    query = (
+        stream_costs(usage, width, slide, watermark)
+        .writeStream.outputMode("update")
+        .option("checkpointLocation", checkpoint or f"{path}/checkpoint")
+        .trigger(availableNow=True)
+        .foreachBatch(store)
+        .start()
+    )
+    query.awaitTermination()
+    return table
+
+
 def last_emitted(rows: DataFrame, *keys: str) -> DataFrame:
     """Newest row per key of what an update-mode stream emitted."""
     return keep_last(rows, list(keys), ["batch"]).drop("batch")
