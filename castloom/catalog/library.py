@@ -12,7 +12,7 @@ from castloom.catalog.functions import _SP
 from castloom.operators import cache as ca
 from castloom.operators import library as lib
 from castloom.operators import rows as rw
-from castloom.sinks import versions
+from castloom.sinks import search, versions
 
 AS_OF = datetime(2024, 2, 20)
 
@@ -64,6 +64,15 @@ def search_notes(spark, folder):
     return found.select("note_id")
 
 
+def search_note_files(spark, folder):
+    """The same search over stored notes, of which only files that may match are read."""
+    path = scratch(spark, "notes")
+    # Notes of one source stay together, so that rare sources are in few files.
+    _searchable(spark, folder).repartitionByRange("source_title", "note_id").write.parquet(f"{path}/rows")
+    search.write_signatures(spark, f"{path}/rows", f"{path}/signatures")
+    return search.search_files(spark, f"{path}/rows", f"{path}/signatures", " Example.ORG ").select("note_id")
+
+
 def search_summaries(spark, folder):
     return lib.search_notes(_searchable(spark, folder), "of the", "summaries").select("note_id")
 
@@ -356,6 +365,7 @@ QUERIES = {
     "library_tables": library_tables,
     "library_rows": library_rows,
     "search_notes": search_notes,
+    "search_note_files": search_note_files,
     "search_summaries": search_summaries,
     "search_recent": search_recent,
     "sort_notes": sort_notes,
@@ -449,6 +459,15 @@ ORACLES = {
         """SELECT note_id FROM embedded WHERE contains(lower(title), 'example.org')
    OR contains(lower(coalesce(summary, '')), 'example.org')
    OR contains(lower(coalesce(source_url, '')), 'example.org')
+   OR contains(lower(coalesce(source_title, '')), 'example.org')""",
+        "notes",
+        "sources",
+        embedded=_EMBEDDED,
+    ),
+    "search_note_files": oracle(
+        """SELECT note_id FROM embedded WHERE contains(lower(title), 'example.org')
+   OR contains(lower(coalesce(summary, '')), 'example.org')
+   OR contains(lower(coalesce(source_url, '')), 'example.org')
    OR contains(lower(coalesce(source_title, '')), 'example.org')""",
         "notes",
         "sources",

@@ -195,6 +195,41 @@ def feeds_view(feeds: DataFrame) -> DataFrame:
     ).withColumn("total", total.scalar())
 
 
+#: Characters of a gram of the title index; shorter words are looked up whole.
+GRAM = 3
+
+
+def _grams_of(text: Column, size: Column) -> Column:
+    """The different strings of a size in a text; the empty one for size 0."""
+    starts = _range(F.lit(1), F.length(text) - size + 1)
+    grams = F.array_distinct(F.transform(starts, lambda at: F.substring(text, at, size)))
+    return F.when(size == 0, F.array(F.lit(""))).otherwise(grams)
+
+
+def _first_titles(words: DataFrame, titles: DataFrame) -> DataFrame:
+    """Position of the first title (_feed, _title, position) that contains each (_feed, _word).
+
+    An index of the titles' grams, inside each feed: a word is looked up by that of its grams
+    which the fewest titles have, and only these titles are searched for it. A word with a gram
+    that no title has is in none.
+    """
+    sized = words.withColumn("_size", F.least(F.lit(GRAM), F.length("_word")))
+    sizes = sized.select("_feed", "_size").distinct()
+    index = titles.join(sizes, "_feed").select(
+        "_feed", "_title", "position", F.explode(_grams_of(F.col("_title"), F.col("_size"))).alias("_gram")
+    )
+    often = index.groupBy("_feed", "_gram").agg(F.count("*").alias("_often"))
+    asked = sized.select("_feed", "_word", F.explode(_grams_of(F.col("_word"), F.col("_size"))).alias("_gram"))
+    rarest = (
+        asked.join(often, ["_feed", "_gram"], "left")
+        .groupBy("_feed", "_word")
+        .agg(F.min(F.struct(F.coalesce("_often", F.lit(0)), "_gram")).alias("_best"))
+        .select("_feed", "_word", F.col("_best._gram").alias("_gram"))
+    )
+    found = rarest.join(index, ["_feed", "_gram"]).where(F.contains("_title", "_word"))
+    return found.groupBy("_feed", "_word").agg(F.min("position").alias("position"))
+
+
 def select_episodes(
     entries: DataFrame, selectors: DataFrame, most: int = MAX_SELECTED
 ) -> tuple[DataFrame, DataFrame]:
@@ -247,15 +282,12 @@ def select_episodes(
     words = judged.where("_kind = 'keyword'").select(
         "selector_id", F.col("feed").alias("_feed"), F.lower("_text").alias("_word")
     )
-    # Each different word of a feed is looked for once, in each different title of it.
-    titles = entries.groupBy("feed", F.lower(F.coalesce("title", F.lit(""))).alias("_t")).agg(
-        F.min("position").alias("position")
-    )
-    match = (F.col("feed") == F.col("_feed")) & F.contains(F.col("_t"), F.col("_word"))
-    first = (
-        titles.join(words.select("_feed", "_word").distinct(), match)
-        .groupBy("_feed", "_word")
-        .agg(F.min("position").alias("position"))
+    # Each different word of a feed is looked for once, in the different titles that may hold it.
+    first = _first_titles(
+        words.select("_feed", "_word").distinct(),
+        entries.groupBy(F.col("feed").alias("_feed"), F.lower(F.coalesce("title", F.lit(""))).alias("_title")).agg(
+            F.min("position").alias("position")
+        ),
     )
     hits = words.join(first, ["_feed", "_word"]).select(
         "selector_id", F.col("_feed").alias("feed"), "position"

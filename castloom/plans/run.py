@@ -49,10 +49,11 @@ def _per_row(
             for i in range(len(batch)):
                 row = batch.iloc[[i]].reset_index(drop=True)
                 got, error = _patiently(lambda r=row: fn(r), attempts, first_wait, longest_wait)
-                n = 1 if got is None else len(got)
-                out = pd.concat([row[keep]] * n, ignore_index=True)
+                # An empty answer is one row of nulls, so that its row of work is not lost.
+                told = got is not None and len(got) > 0
+                out = pd.concat([row[keep]] * (len(got) if told else 1), ignore_index=True)
                 for name in names:
-                    out[name] = None if got is None else got[name].to_numpy()
+                    out[name] = got[name].to_numpy() if told else None
                 out["error"] = error
                 yield out
 

@@ -274,3 +274,22 @@ def test_late_and_repeated_usage(spark, tmp_path):
     windows = streams.run_to_table(streams.stream_costs(source(), "1 hour", None, "1 hour"))
     whole = streams.with_late_costs(windows, late).where("window_start < '2024-01-10'").collect()
     assert {r["window_start"].hour: r["records"] for r in whole} == {1: 2, 2: 1, 9: 1, 20: 1, 21: 1}
+
+
+def test_many_keywords_meet_few_titles(spark):
+    rng = random.Random(8)
+    word = lambda n: "".join(rng.choices("abcdefghijklmnop", k=n))
+    titles = [f"Episode {i}: {word(6)} and {word(7)}" for i in range(10_000)]
+    entries = spark.createDataFrame([("f", i + 1, t) for i, t in enumerate(titles)], "feed string, position bigint, title string")
+    words = [titles[i].split(" and ")[1] for i in range(0, 10_000, 2)] + [word(8) for _ in range(4990)]
+    words += ["EPISODE", "e", "pi", "and", "absent here", "9999:", ": ", "qqq", "Episode 77: "]
+    asked = spark.createDataFrame([(i, "f", w) for i, w in enumerate(words)], "selector_id int, feed string, selector string")
+    good, bad = feeds.select_episodes(entries, asked)
+    start = time.perf_counter()
+    got = {r["selector_id"]: r["position"] for r in good.collect()}
+    assert time.perf_counter() - start < 60
+    refused = {r["selector_id"] for r in bad.collect()}
+    low = [t.lower() for t in titles]
+    for i in [*range(0, 5000, 100), *range(5000, 9990, 500), *range(9990, len(words))]:
+        want = next((n for n, t in enumerate(low, 1) if words[i].strip().lower() in t), None)
+        assert got.get(i) == want and (i in refused) == (want is None)
