@@ -61,3 +61,20 @@ def test_runs_cover_all_windows():
 
 def test_empty(spark):
     assert suffixes.remove_repeats(empty(spark)).collect() == []
+
+
+def test_planted_passages_go(spark):
+    """A passage of 400 bytes or more in several texts goes in all of them, a shorter one stays."""
+    rng = random.Random(12)
+    planted, texts = [words(900 + i, 140)[: rng.randint(400, 700)] for i in range(20)], []
+    short = [words(950 + i, 140)[:390] for i in range(20)]
+    for i, passage in enumerate(planted + short):
+        for copy in range(2 + i % 3):
+            texts.append(f"{words(2000 + 10 * i + copy, 60)}\n{passage}\n{words(5000 + 10 * i + copy, rng.randint(5, 90))}")
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string")
+    gone = {r["doc_id"]: r["n_removed"] for r in suffixes.remove_repeats(docs.repartition(3)).collect()}
+    at = 0
+    for i, passage in enumerate(planted + short):
+        for _ in range(2 + i % 3):
+            assert (gone[at] >= len(passage)) == (i < len(planted)) and (gone[at] == 0) == (i >= len(planted))
+            at += 1
