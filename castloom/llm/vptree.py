@@ -276,6 +276,8 @@ def search(
         F.count("*"), F.sqrt(F.max(square)), F.count(F.when(F.col("asks"), 1))
     ).first()
 
+    # Numbers stay of the type they have, for scores are those of the original vectors.
+    kind = points.schema["vector"].dataType.simpleString()
     sample = hash_sample(points.select("rep", "vector"), ["rep"], total, SAMPLE_ROWS).toArrow()
     fitted = _lifted(_matrix(sample["vector"]), longest)
     least = max(ROUTE_ROWS, len(fitted) * shard_rows // max(total, 1))
@@ -289,7 +291,7 @@ def search(
             )
 
     placed = points.select("rep", "vector").mapInArrow(
-        route, "rep bigint, vector array<float>, leaf int"
+        route, f"rep bigint, vector {kind}, leaf int"
     )
     placed = parked(placed, "placed")
     parts = {  # bounded by the number of leaves of a tree over the sample
@@ -335,7 +337,7 @@ def search(
 
     def dealt(asked: DataFrame, first: bool) -> DataFrame:
         out = asked.mapInArrow(
-            visits(first), "query bigint, vector array<float>, reach double, leaf int"
+            visits(first), f"query bigint, vector {kind}, reach double, leaf int"
         )
         last = F.element_at(
             F.create_map(*(F.lit(x) for pair in sorted(parts.items()) for x in pair)), F.col("leaf")

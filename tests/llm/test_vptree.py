@@ -71,3 +71,15 @@ def test_empty(spark):
     df = spark.createDataFrame([], "vec_id bigint, embedding array<float>")
     out = vptree.search(df, F.expr(ASKS))
     assert out.columns == ["query_id", "rank", "vec_id", "score"] and out.collect() == []
+
+
+def test_doubles_keep_their_digits(spark):
+    rng = np.random.default_rng(4)
+    rows = [(i, rng.normal(size=5).tolist()) for i in range(120)]
+    df = spark.createDataFrame(rows, "vec_id bigint, embedding array<double>")
+    found = vptree.search(df, F.expr(ASKS), factor=1.0).orderBy("query_id", "rank").collect()
+    got = defaultdict(list)
+    for r in found:
+        got[r["query_id"]].append(r["vec_id"])
+        assert r["score"] == pytest.approx(np.dot(rows[r["query_id"]][1], rows[r["vec_id"]][1]), rel=1e-14)
+    assert got == vptree.brute_force(rows, 20, lambda i: i % 20 == 0)
