@@ -395,8 +395,10 @@ def close_candidates(asked: DataFrame, stored: DataFrame) -> DataFrame:
     some = left.select("_gram").distinct().join(often, "_gram", "left")
     # Grams that no stored key has are rarest of all.
     counts = some.select("_gram", F.coalesce("_often", F.lit(0)).alias("_often"))
-    a = _rare_grams(left, "_slug", counts).alias("a")
-    b = _rare_grams(right, "_key", often).alias("b")
+    # Few bytes that become many pairs: a number of partitions of its own keeps them spread.
+    spread = int(asked.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    a = _rare_grams(left, "_slug", counts).repartition(spread, "_gram").alias("a")
+    b = _rare_grams(right, "_key", often).repartition(spread, "_gram").alias("b")
     own, other, shift = F.col("a._own"), F.col("b._own"), F.col("a._at") - F.col("b._at")
     both = _matched(own, other)
     near = (
