@@ -13,19 +13,19 @@ SYMBOLS = "#*$%&|<>"
 FEATURES = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_upper")
 _CAPITALS = bytes(range(65, 91))
 
-#: Each metric in thousandths per word, with the least distance of its limits from the middle
-#: half of the values: without it, a metric that is nearly always zero would reject whatever
-#: is not.
+#: Each metric in thousandths per word, with its anchor: the percentile from whose distance to
+#: the median the limits follow. The rarer a metric is above zero in good texts, the further out
+#: its anchor; nothing else sets a limit.
 METRICS = {
-    "word_length": ("word_chars", 4000),
-    "symbols": ("n_symbols", 150),
-    "dup_lines": ("n_dup_lines", 50),
-    "repeats": ("n_repeat_words", 200),
-    "capitals": ("n_upper", 1000),
+    "word_length": ("word_chars", 90),
+    "symbols": ("n_symbols", 90),
+    "dup_lines": ("n_dup_lines", 99),
+    "repeats": ("n_repeat_words", 97),
+    "capitals": ("n_upper", 95),
 }
-#: Metrics that can be too low as well.
+#: Metrics that can be too low as well, from the mirrored percentile.
 TWO_SIDED = ("word_length",)
-#: Limits lie this many widths of the middle half away from it.
+#: Limits lie this many times the distance between anchor and median beyond the anchor.
 WIDTHS = 4
 #: A sketch of fewer documents is replaced by that of its language, then by that of all.
 LEAST_DOCUMENTS = 100
@@ -119,8 +119,13 @@ def sketch(rows: DataFrame) -> DataFrame:
     )
 
 
-def _quartiles(sketches: DataFrame) -> DataFrame:
-    """First and third quartile of each metric, by group, by language and over all.
+def _anchor() -> Column:
+    pairs = (F.lit(x) for name, (_, percent) in METRICS.items() for x in (name, percent))
+    return F.element_at(F.create_map(*pairs), F.col("metric"))
+
+
+def _percentiles(sketches: DataFrame) -> DataFrame:
+    """Median, anchor and mirrored anchor of each metric, by group, by language and over all.
 
     level says which: 0 a source of a language, 1 a language, 3 all.
     """
@@ -143,7 +148,10 @@ def _quartiles(sketches: DataFrame) -> DataFrame:
     )
     at = lambda percent: F.min(F.when(100 * F.col("upto") >= percent * F.col("total"), F.col("edge")))
     return sums.groupBy("level", "lang", "source", "metric").agg(
-        at(25).alias("q1"), at(75).alias("q3"), F.max("total").alias("total")
+        at(100 - _anchor()).alias("mirror"),
+        at(F.lit(50)).alias("median"),
+        at(_anchor()).alias("anchor"),
+        F.max("total").alias("total"),
     )
 
 
@@ -151,16 +159,11 @@ def thresholds(
     sketches: DataFrame, widths: int = WIDTHS, least: int = LEAST_DOCUMENTS
 ) -> DataFrame:
     """One row per language and source: a `<metric>_low` and `<metric>_high` for each metric."""
-    found = _quartiles(sketches)
-    spread = F.greatest(
-        widths * (F.col("q3") - F.col("q1")),
-        F.element_at(
-            F.create_map(*(x for k, (_, s) in METRICS.items() for x in (F.lit(k), F.lit(s)))),
-            F.col("metric"),
-        ),
-    )
+    found = _percentiles(sketches)
+    low = F.col("mirror") - widths * (F.col("median") - F.col("mirror"))
+    high = F.col("anchor") + widths * (F.col("anchor") - F.col("median"))
     limits = (
-        found.withColumns({"low": F.col("q1") - spread, "high": F.col("q3") + spread})
+        found.withColumns({"low": low, "high": high})
         .groupBy("level", F.col("lang").alias("of_lang"), F.col("source").alias("of_source"))
         .agg(
             *(
@@ -290,16 +293,16 @@ WITH texts AS (
     SELECT *, sum(n) OVER (g ORDER BY edge) AS upto, sum(n) OVER (g) AS total FROM merged
     WINDOW g AS (PARTITION BY level, lang, source, metric)
 ), limits AS (
-    SELECT level, lang, source, metric, total, q1 - spread AS low, q3 + spread AS high FROM (
-        SELECT *, greatest(4 * (q3 - q1), CASE metric WHEN 'word_length' THEN 4000
-            WHEN 'symbols' THEN 150 WHEN 'dup_lines' THEN 50 WHEN 'repeats' THEN 200
-            ELSE 1000 END) AS spread
-        FROM (
-            SELECT level, lang, source, metric, max(total) AS total,
-                min(edge) FILTER (100 * upto >= 25 * total) AS q1,
-                min(edge) FILTER (100 * upto >= 75 * total) AS q3
-            FROM sums GROUP BY ALL
-        )
+    SELECT level, lang, source, metric, total, mirror - 4 * (median - mirror) AS low,
+        anchor + 4 * (anchor - median) AS high
+    FROM (
+        SELECT level, lang, source, metric, max(total) AS total,
+            min(edge) FILTER (100 * upto >= (100 - percent) * total) AS mirror,
+            min(edge) FILTER (100 * upto >= 50 * total) AS median,
+            min(edge) FILTER (100 * upto >= percent * total) AS anchor
+        FROM sums JOIN (VALUES ('word_length', 90), ('symbols', 90), ('dup_lines', 99),
+            ('repeats', 97), ('capitals', 95)) AS anchors(metric, percent) USING (metric)
+        GROUP BY ALL
     )
 ), groups AS (
     SELECT lang, source, CASE WHEN n >= 100 THEN 0
