@@ -80,5 +80,33 @@ def test_planted_passages_go_once(spark):
         assert (r["n_removed"] > 0) == (0 < r["doc_id"] < 30)
 
 
+def test_passages_of_51_words_at_any_place(spark):
+    """Nothing here but the texts decides what must go: each pair shares one passage."""
+    passages = [words(5000 + i, 51) for i in range(1200)]
+    table = []
+    for i, p in enumerate(passages):
+        table.append((2 * i, f"{words(6000 + i, 5 + i % 61)} {p} {words(7000 + i, 20)}"))
+        table.append((2 * i + 1, f"{words(9000 + i, 7 + i % 53)} {p} {words(8000 + i, 25)}"))
+    table += [(10_000 + i, words(10_000 + i, 150)) for i in range(200)]
+    df = spark.createDataFrame(table, "doc_id bigint, text string")
+    gone = {r["doc_id"]: (r["n_removed"], r["kept_text"]) for r in chunks.dedupe(df).collect()}
+    caught = sum(gone[2 * i + 1][0] > 0 for i in range(1200))
+    assert caught >= 0.99 * 1200
+    assert all(gone[2 * i][0] == 0 for i in range(1200)) and all(gone[10_000 + i][0] == 0 for i in range(200))
+    for i, p in enumerate(passages):
+        removed, kept = gone[2 * i + 1]
+        text = table[2 * i + 1][1]
+        # What goes lies inside the passage.
+        at = text.index(p)
+        assert removed <= len(p) and kept.startswith(text[:at]) and kept.endswith(text[at + len(p) :])
+
+
+def test_copies_of_short_texts_go(spark):
+    short = ["x", "two words", "Ein Satz."]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(short * 3)], "doc_id bigint, text string")
+    for r in chunks.dedupe(df).collect():
+        assert r["kept_text"] == (short[r["doc_id"]] if r["doc_id"] < 3 else "")
+
+
 def test_empty(spark):
     assert chunks.dedupe(empty(spark)).collect() == []
