@@ -14,7 +14,7 @@ def slow_boundaries(raw):
     for i, byte in enumerate(raw):
         h = (2 * h + int(chunks.GEAR[byte])) % (1 << 32)
         at = i + 1
-        due = h >> (32 - chunks.CUT_BITS) == 0 and at - start >= chunks.LEAST
+        due = h < (1 << 32) // chunks.EVERY and at - start >= chunks.LEAST
         if at < len(raw) and starts(at) and (due or at - start >= chunks.MOST):
             ends.append(at)
             start = at
@@ -82,12 +82,12 @@ def test_planted_passages_go_once(spark):
 
 def test_passages_of_51_words_at_any_place(spark):
     """Nothing here but the texts decides what must go: each pair shares one passage."""
-    passages = [words(5000 + i, 51) for i in range(1200)]
+    passages = [words(100_000 + i, 51) for i in range(1200)]
     table = []
     for i, p in enumerate(passages):
-        table.append((2 * i, f"{words(6000 + i, 5 + i % 61)} {p} {words(7000 + i, 20)}"))
-        table.append((2 * i + 1, f"{words(9000 + i, 7 + i % 53)} {p} {words(8000 + i, 25)}"))
-    table += [(10_000 + i, words(10_000 + i, 150)) for i in range(200)]
+        table.append((2 * i, f"{words(200_000 + i, 5 + i % 61)} {p} {words(300_000 + i, 20)}"))
+        table.append((2 * i + 1, f"{words(400_000 + i, 7 + i % 53)} {p} {words(500_000 + i, 25)}"))
+    table += [(10_000 + i, words(600_000 + i, 150)) for i in range(200)]
     df = spark.createDataFrame(table, "doc_id bigint, text string")
     gone = {r["doc_id"]: (r["n_removed"], r["kept_text"]) for r in chunks.dedupe(df).collect()}
     caught = sum(gone[2 * i + 1][0] > 0 for i in range(1200))
