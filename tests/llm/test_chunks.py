@@ -1,6 +1,7 @@
 """Chunks: whole, stable under insertions, and the repeats they find."""
 
 import hashlib
+import os.path
 from collections import Counter
 
 from castloom.llm import chunks
@@ -95,10 +96,13 @@ def test_passages_of_51_words_at_any_place(spark):
     assert all(gone[2 * i][0] == 0 for i in range(1200)) and all(gone[10_000 + i][0] == 0 for i in range(200))
     for i, p in enumerate(passages):
         removed, kept = gone[2 * i + 1]
-        text = table[2 * i + 1][1]
-        # What goes lies inside the passage.
-        at = text.index(p)
-        assert removed <= len(p) and kept.startswith(text[:at]) and kept.endswith(text[at + len(p) :])
+        before, text = (table[2 * i + side][1].split(f" {p} ") for side in (0, 1))
+        # What goes lies inside the passage and the letters beside it that agree by chance.
+        left = len(os.path.commonprefix([before[0][::-1], text[0][::-1]]))
+        right = len(os.path.commonprefix([before[1], text[1]]))
+        assert removed <= left + len(p) + 2 + right
+        assert kept.startswith(text[0][: len(text[0]) - left])
+        assert kept.endswith(text[1][right:])
 
 
 def test_copies_of_short_texts_go(spark):
