@@ -11,6 +11,7 @@ from castloom.catalog import bindings as b
 from castloom.catalog.bindings import oracle
 from castloom.plans import extraction as ex
 from castloom.plans.prompts import prompt as fill_prompt
+from castloom.sinks import buckets
 from castloom.sources.templates import BUILTIN, read_templates
 
 AS_OF = datetime(2024, 2, 20)
@@ -131,15 +132,45 @@ def route(spark, folder):
     return ex.route(work, routes).select("episode_id", "template_name", "route_rank", "provider")
 
 
-def cache_lookup(spark, folder):
+def _looked_up(spark, folder):
+    """Texts to look up, and a cache of every fourth of them."""
     rows = b.transcripts(spark, folder).select("episode_id", F.sha2("text", 256).alias("cache_key"))
     start = F.lit("2024-01-01 00:00:00").cast("timestamp")
     cache = b.transcripts(spark, folder).where(F.col("episode_id") % 4 == 1).groupBy(
         F.sha2("text", 256).alias("cache_key")
     ).agg(F.max(F.timestamp_add("HOUR", F.col("episode_id").cast("int"), start)).alias("cached_at"))
+    return rows, cache
+
+
+def cache_lookup(spark, folder):
+    rows, cache = _looked_up(spark, folder)
     return ex.cache_lookup(rows, cache, AS_OF).select("episode_id", "hit")
 
 
+def _bucketed(spark, rows, name, key):
+    path = b.scratch(spark, name)
+    buckets.write_buckets(rows, path, key)
+    return buckets.read_buckets(spark, path, key, schema=rows.schema)
+
+
+def bucketed_cache_lookup(spark, folder):
+    """The same with the cache in buckets of its key: only the texts' hashes move."""
+    rows, cache = _looked_up(spark, folder)
+    kept = _bucketed(spark, cache, "cache", "cache_key")
+    return ex.cache_lookup(rows, kept, AS_OF).select("episode_id", "hit")
+
+
+def bucketed_plan(spark, folder):
+    """The whole plan with note versions and cache in buckets of their keys."""
+    plan = ex.plan_extraction(
+        _transcripts(spark, folder), _templates(spark), ex.capabilities(spark, LIMITS),
+        _bucketed(spark, _stored(spark, folder), "notes", ["episode_id", "template_name"]),
+        _bucketed(spark, _cache(spark, folder), "cache", "cache_key"),
+        AS_OF, tech=TECH, interview=INTERVIEW,
+    )
+    return plan.withColumn("est_cost_usd", F.round("est_cost_usd", 9)).drop("model", "podcast")
+
+
 def est_cost(spark, folder):
     rows = b.transcripts(spark, folder)
     tokens = F.length("text") * 20
@@ -169,6 +200,8 @@ QUERIES = {
     "bypass": bypass,
     "route": route,
     "cache_lookup": cache_lookup,
+    "bucketed_cache_lookup": bucketed_cache_lookup,
+    "bucketed_plan": bucketed_plan,
     "est_cost": est_cost,
     "prompt": prompt,
     "plan_extraction": plan_extraction_rows,
@@ -297,3 +330,4 @@ SELECT episode_id, sha256(
         plan=_PLAN,
     ),
 }
+ORACLES |= {"bucketed_cache_lookup": ORACLES["cache_lookup"], "bucketed_plan": ORACLES["plan_extraction"]}
