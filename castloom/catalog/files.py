@@ -319,7 +319,7 @@ def stream_jobs(spark, folder):
         F.col("user_id").alias("job_id"), "ts", F.col("event_id").alias("seq"),
         F.when(kind == "signup", "succeeded").otherwise("running").alias("status"), kind.alias("stage"),
     )
-    emitted = streams.run_to_table(streams.stream_jobs(progress, "365 days", "365 days"), "update")
+    emitted = streams.run_to_table(streams.stream_jobs(progress, "365 days", "365 days"), "update", rocksdb=True)
     return emitted.select("job_id", F.col("batch").cast("int").alias("batch"), "status", "stage")
 
 

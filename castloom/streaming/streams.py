@@ -9,12 +9,17 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Iterator
+from contextlib import contextmanager
 
-import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming.stateful_processor import (
+    ExpiredTimerInfo,
+    StatefulProcessor,
+    StatefulProcessorHandle,
+    TimerValues,
+)
 
 from castloom.operators.rows import keep_last, new_rows
 from castloom.session import shared_dir
@@ -76,78 +81,106 @@ def with_late_costs(
 
 
 _JOB = "job_id bigint, seq bigint, status string, stage string"
-_KNOWN = "ts timestamp, seq bigint, status string, stage string"
+_KNOWN = "at bigint, seq bigint, status string, stage string, expires bigint"
 
 
-def stream_jobs(progress: DataFrame, watermark: str = "1 hour", idle: str = "1 day") -> DataFrame:
-    """Status and stage of each job when they change; run in update mode.
+class JobStates(StatefulProcessor):
+    """The newest row of each job, or the final one that ended it, with an event-time timer
+    that drops it. Rows of a micro-batch pass by one at a time, so a busy job needs no memory."""
 
-    ``progress`` has (job_id, ts, seq, status, stage); rows of a job may arrive in any order
-    and more than once. A repeat emits nothing. The first final status ends a job: rows behind
-    it emit nothing. Its state, as that of a job without news, goes ``idle`` after its last
-    row. Within a micro-batch the newest row and the first final one are picked from each Arrow
-    batch, so a busy job needs no memory for its rows.
-    """
-    patience = int(pd.Timedelta(idle).total_seconds() * 1000)
+    def __init__(self, idle: str):
+        self.patience = pd.Timedelta(idle) // pd.Timedelta("1ms")
 
-    def step(
-        key: tuple, frames: Iterator[pd.DataFrame], state: GroupState
-    ) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            state.remove()
-            return
-        before = tuple(state.get) if state.exists else None
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.known = handle.getValueState("known", _KNOWN)
+
+    def handleInputRows(self, key: tuple, rows: Iterator[Row], timerValues: TimerValues) -> Iterator[Row]:
+        stored = self.known.get() if self.known.exists() else None
+        before, expires = (tuple(stored[:4]), stored[4]) if stored else (None, None)
         if before and before[2] in FINAL:
-            for _ in frames:
-                pass
             return
         newest, ended = before, None
-        for frame in frames:
-            frame = frame[["ts", "seq", "status", "stage"]]
-            order = np.lexsort((frame["seq"], frame["ts"]))
-            row = tuple(frame.iloc[order[-1]])
-            newest = row if newest is None or row[:2] > newest[:2] else newest
-            final = order[frame["status"].isin(FINAL).to_numpy()[order]]
-            if len(final):
-                row = tuple(frame.iloc[final[0]])
-                ended = row if ended is None or row[:2] < ended[:2] else ended
+        for r in rows:
+            row = (r["at"], r["seq"], r["status"], r["stage"])
+            if newest is None or row[:2] > newest[:2]:
+                newest = row
+            if row[2] in FINAL and (ended is None or row[:2] < ended[:2]):
+                ended = row
         now = ended or newest
-        state.update((now[0], int(now[1]), now[2], now[3]))
-        state.setTimeoutTimestamp(
-            max(int(pd.Timestamp(now[0]).timestamp() * 1000), state.getCurrentWatermarkMs()) + patience
-        )
+        reached = max(now[0] // 1000, timerValues.getCurrentWatermarkInMs())
+        if expires is not None:
+            self.handle.deleteTimer(expires)
+        self.handle.registerTimer(reached + self.patience)
+        self.known.update((*now, reached + self.patience))
         if before is None or before[2:] != now[2:]:
-            yield pd.DataFrame(
-                {"job_id": [key[0]], "seq": [int(now[1])], "status": [now[2]], "stage": [now[3]]}
-            )
+            yield Row(job_id=key[0], seq=now[1], status=now[2], stage=now[3])
 
-    rows = progress.select("job_id", "ts", "seq", "status", "stage")
-    return (
-        rows.withWatermark("ts", watermark)
-        .groupBy("job_id")
-        .applyInPandasWithState(step, _JOB, _KNOWN, "update", GroupStateTimeout.EventTimeTimeout)
-    )
+    def handleExpiredTimer(
+        self, key: tuple, timerValues: TimerValues, expiredTimerInfo: ExpiredTimerInfo
+    ) -> Iterator[Row]:
+        self.known.clear()
+        return iter(())
+
+    def close(self) -> None:
+        pass
+
+
+def stream_jobs(progress: DataFrame, watermark: str = "1 hour", idle: str = "1 day") -> DataFrame:
+    """Status and stage of each job when they change; run in update mode, on RocksDB state
+    (``run_to_table`` with ``rocksdb``).
+
+    ``progress`` has (job_id, ts, seq, status, stage); rows of a job may arrive in any order
+    and more than once; ts and seq are not null. A repeat emits nothing. The first final status
+    ends a job: rows behind it emit nothing. Its state, as that of a job without news, goes
+    ``idle`` after its last row.
+    """
+    at = F.unix_micros(F.col("ts").cast("timestamp")).alias("at")
+    rows = progress.withWatermark("ts", watermark).select("job_id", "ts", at, "seq", "status", "stage")
+    return rows.groupBy("job_id").transformWithState(JobStates(idle), _JOB, "update", "eventTime")
+
+
+_STORE = "spark.sql.streaming.stateStore.providerClass"
+_ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
-def run_to_table(stream: DataFrame, mode: str = "append") -> DataFrame:
+@contextmanager
+def _state_store(spark: SparkSession, rocksdb: bool) -> Iterator[None]:
+    """A query takes its state store from the session when it starts."""
+    before = spark.conf.get(_STORE, None)
+    if rocksdb:
+        spark.conf.set(_STORE, _ROCKSDB)
+    try:
+        yield
+    finally:
+        if rocksdb:
+            spark.conf.unset(_STORE) if before is None else spark.conf.set(_STORE, before)
+
+
+def run_to_table(
+    stream: DataFrame, mode: str = "append", rocksdb: bool = False, base: str | None = None
+) -> DataFrame:
     """Run a stream over what its source holds now and return the rows it emitted.
 
     Each micro-batch overwrites its own folder, so a batch run again after a failure
-    leaves no repeats. Column ``batch`` tells in which one a row was emitted.
+    leaves no repeats. Column ``batch`` tells in which one a row was emitted. With ``base``, a
+    folder of the caller, a later run goes on where the one before it ended. ``rocksdb`` keeps
+    the state on the executors' disks.
     """
     spark = stream.sparkSession
-    base = f"{shared_dir(spark)}/stream-{uuid.uuid4().hex}"
+    base = base or f"{shared_dir(spark)}/stream-{uuid.uuid4().hex}"
 
     def store(rows: DataFrame, batch: int) -> None:
         rows.write.mode("overwrite").parquet(f"{base}/out/batch={batch}")
 
-    query = (
+    writer = (
         stream.writeStream.outputMode(mode)
         .option("checkpointLocation", f"{base}/checkpoint")
         .trigger(availableNow=True)
         .foreachBatch(store)
-        .start()
     )
+    with _state_store(spark, rocksdb):
+        query = writer.start()
     query.awaitTermination()
     return spark.read.schema(stream.schema.add("batch", "integer")).parquet(f"{base}/out")
 

@@ -6,6 +6,7 @@ import time
 from datetime import datetime, timedelta
 
 import pytest
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from castloom.functions import text
@@ -254,12 +255,42 @@ def test_job_states_end(spark, tmp_path):
     for rows in deliveries:
         _deliver(spark, path, rows, schema)
     stream = streams.stream_jobs(streams.file_stream(spark, path, schema, 1), "10 minutes", "1 hour")
-    emitted = streams.run_to_table(stream, "update").orderBy("batch", "job_id").collect()
+    emitted = streams.run_to_table(stream, "update", rocksdb=True).orderBy("batch", "job_id").collect()
     told = [(r["batch"], r["job_id"], r["status"], r["stage"]) for r in emitted]
     assert told[:4] == [(0, 1, "running", "b"), (0, 2, "running", "a"), (2, 1, "succeeded", "c"), (2, 2, "failed", "a")]
     assert [t[1] for t in told[4:]].count(1) == 0 and {t[1] for t in told[4:]} == {3}
 
 
+def test_job_states_go_on_after_a_restart(spark, tmp_path):
+    schema = "job_id bigint, ts timestamp, seq bigint, status string, stage string"
+    path, base = str(tmp_path / "jobs"), str(tmp_path / "run")
+    rng = random.Random(2)
+    state = lambda: rng.choice(["running"] * 9 + ["failed"])
+    rows = [
+        (rng.randrange(20), datetime(2024, 1, 1) + timedelta(minutes=rng.randrange(500)), i, state(), rng.choice("abc"))
+        for i in range(400)
+    ]
+    known, changes = {}, []
+    for n in range(4):
+        sent = rows[n * 100 : n * 100 + 100] + rows[: n * 20]  # some rows again, and late
+        _deliver(spark, path, sent, schema)
+        # Each delivery is a run of its own, from the checkpoint of the one before.
+        stream = streams.stream_jobs(streams.file_stream(spark, path, schema), "30 days", "30 days")
+        emitted = streams.run_to_table(stream, "update", rocksdb=True, base=base)
+        for job in {r[0] for r in sent}:
+            before = known.get(job)
+            if before and before[3] in streams.FINAL:
+                continue
+            own = sorted((r for r in sent if r[0] == job), key=lambda r: r[1:3])
+            ended = [r for r in own if r[3] in streams.FINAL]
+            now = ended[0] if ended else max([own[-1], *([before] if before else [])], key=lambda r: r[1:3])
+            known[job] = now
+            if before is None or before[3:] != now[3:]:
+                changes.append((n, job, *now[2:]))
+    found = emitted.select(F.dense_rank().over(Window.orderBy("batch")) - 1, "job_id", "seq", "status", "stage")
+    assert sorted(map(tuple, found.collect())) == sorted(changes)
+
+
 def test_late_and_repeated_usage(spark, tmp_path):
     schema = "usage_id string, provider string, input_tokens bigint, output_tokens bigint, cost_usd double, used_at timestamp"
     at = lambda h: datetime(2024, 1, 1) + timedelta(hours=h)
