@@ -4,8 +4,10 @@ from __future__ import annotations
 
 import hashlib
 import re
-from collections.abc import Iterator
+from bisect import bisect_right
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass, field
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
@@ -78,7 +80,7 @@ def _sorted(spans: list[Span]) -> list[Span]:
 def _outline(word: str) -> str:
     """Letters as a and A, digits as 0, runs of each as one."""
     out = []
-    for c in word[:64]:
+    for c in word[:WORD_CHARACTERS]:
         c = "0" if c in "0123456789" else "A" if c.isupper() else "a" if c.isalpha() else c
         if not (out and out[-1] == c and c in "0aA"):
             out.append(c)
@@ -91,7 +93,7 @@ def _bucket(n: int) -> str:
 
 def _shape(word: str) -> str:
     """The outline with the lengths of digit runs."""
-    return re.sub(r"[0-9]+", lambda m: f"<{_bucket(len(m.group()))}>", re.sub(r"[^\W\d_]+", "a", word[:64]))
+    return re.sub(r"[0-9]+", lambda m: f"<{_bucket(len(m.group()))}>", re.sub(r"[^\W\d_]+", "a", word[:WORD_CHARACTERS]))
 
 
 def features_of(word: str) -> tuple[str, ...]:
@@ -100,14 +102,16 @@ def features_of(word: str) -> tuple[str, ...]:
     return (
         f"shape {_shape(word)}",
         f"outline {outline}",
-        f"digits {_bucket(len(_DIGIT.findall(word[:200])))}",
+        f"digits {_bucket(len(_DIGIT.findall(word[:WORD_CHARACTERS])))}",
         f"ends {outline[0]}{outline[-1]}",
         f"dots {word.count('.')} at {word.count('@')}",
     )
 
 
-#: Features of a word: its own, and the outlines of both neighbours.
-WIDTH = 7
+#: Features of a word: its own, the outlines of both neighbours, the words around its run.
+WIDTH = 9
+#: Characters of a word that its features look at: a longer one is no personal data.
+WORD_CHARACTERS = 64
 
 
 @dataclass
@@ -120,26 +124,37 @@ class Run:
 
     words: list[str]
     spans: list[tuple[int, int]]
+    before: str = ""
+    after: str = ""
 
     def features(self) -> list[tuple[str, ...]]:
         outlines = ["", *map(_outline, self.words), ""]
+        around = f"cue {_cue(self.before)}", f"then {_cue(self.after)}"
         return [
-            (*features_of(w), f"before {outlines[i]}", f"after {outlines[i + 2]}")
+            (*features_of(w), f"before {outlines[i]}", f"after {outlines[i + 2]}", *around)
             for i, w in enumerate(self.words)
         ]
 
 
+def _cue(word: str) -> str:
+    """A word beside a run as a feature: its lower-cased letters."""
+    return "".join(c for c in word[:WORD_CHARACTERS].lower() if c.isalpha())
+
+
 def runs_of(text: str) -> list[Run]:
     if not _SIGN.search(text):
         return []
-    runs, last = [], -2
-    for n, m in enumerate(_WORDS.finditer(text)):
-        if _SIGN.search(m.group()):
-            if n > last + 1:
-                runs.append(Run([], []))
-            runs[-1].words.append(m.group())
+    runs, before, inside = [], "", False
+    for m in _WORDS.finditer(text):
+        word = m.group()
+        if _SIGN.search(word):
+            if not inside:
+                runs.append(Run([], [], before))
+            runs[-1].words.append(word)
             runs[-1].spans.append(m.span())
-            last = n
+        elif inside:
+            runs[-1].after = word
+        inside, before = bool(_SIGN.search(word)), word
     return runs
 
 
@@ -204,15 +219,28 @@ def _logsum(x: np.ndarray, axis: int) -> np.ndarray:
     return np.squeeze(top, axis) + np.log(np.exp(x - top).sum(axis=axis))
 
 
+Example = tuple[Run, list[int]]
+
+
+def names_of(examples: list[Example]) -> set[str]:
+    """The features of labelled runs."""
+    return {f for run, _ in examples for word in run.features() for f in word}
+
+
 def train(
-    examples: list[tuple[Run, list[int]]], rounds: int = 150, rate: float = 0.3, decay: float = 1e-3
+    examples: list[Example],
+    rounds: int = 150,
+    rate: float = 0.3,
+    decay: float = 1e-3,
+    names: set[str] | None = None,
 ) -> Field:
-    """Fit a field to labelled runs: gradient ascent on their log-likelihood, by forward and
-    backward sums over all runs at once, with steps scaled per weight."""
+    """Fit a field to labelled runs, with their features or only those `names`: gradient ascent
+    on their log-likelihood, by forward and backward sums over all runs at once, with steps
+    scaled per weight."""
     made = Field()
     if not examples:
         return made
-    names = sorted({f for run, _ in examples for word in run.features() for f in word})
+    names = sorted(names_of(examples) if names is None else names)
     made.index = {f: i for i, f in enumerate(names)}
     made.weights = np.zeros((len(names) + 1, len(LABELS)))
     lengths = np.array([len(run.words) for run, _ in examples])
@@ -284,6 +312,9 @@ EXAMPLES = (
     "card [card 4111 1111 1111 1111] expires",
     "paid by [card 4111-1111-1111-1111] online",
     "card [card 4111111111111111] expires",
+    "card [card 4111.1111.1111.1111] valid",
+    "from [phone +1 (303) 555-0182] [ip 192.0.2.44] on",
+    "by [phone +1 (617) 555-0139] [ip 198.51.100.27] too",
     "in 1999 or 2024 there were 12 of 300",
     "on 2024-01-31 at 10:45 it cost 12.50 or 1,200",
     "version 1.2.3 of 10.4 was 3.14159",
@@ -302,6 +333,8 @@ EXAMPLES = (
 _MARKED = re.compile(r"\[(\w+) ([^\]]+)\]")
 #: Documents whose spans of fixed patterns are labelled words as well.
 SAMPLE_DOCUMENTS = 400
+#: Bounds of training: characters of a sampled text, words of a run, lines of a labelled table.
+TRAIN_CHARACTERS, TRAIN_WORDS, LABELLED_LINES = 20_000, 40, 10_000
 
 
 def _example(line: str) -> tuple[str, list[Span]]:
@@ -314,30 +347,68 @@ def _example(line: str) -> tuple[str, list[Span]]:
     return out + line[at:], spans
 
 
-def labelled(text: str, spans: list[Span]) -> list[tuple[Run, list[int]]]:
+class Covered:
+    """Spans looked up by place, in logarithmic time: the spans in order of their starts, with
+    the greatest end up to each."""
+
+    def __init__(self, spans: list[Span]):
+        self.spans = _sorted(spans)
+        self.starts = [s[1] for s in self.spans]
+        self.ends = list(accumulate((s[2] for s in self.spans), max))
+
+    def first(self, start: int, end: int) -> Span | None:
+        """The first span that has a character between start and end: the one at which the
+        greatest end so far passes `start` reaches that far itself."""
+        at = bisect_right(self.ends, start)
+        return self.spans[at] if at < len(self.spans) and self.starts[at] < end else None
+
+
+def labelled(text: str, spans: list[Span]) -> list[Example]:
     """The runs of a text with the labels that the spans give their words."""
-    out = []
+    out, covered = [], Covered(spans)
     for run in runs_of(text):
         labels, before = [], None
         for start, end in run.spans:
-            hit = next((s for s in spans if s[1] < end and s[2] > start), None)
+            hit = covered.first(start, end)
             labels.append(LABELS.index(f"{'I' if hit == before else 'B'}-{hit[0]}") if hit else 0)
             before = hit
         out.append((run, labels))
     return out
 
 
-def fit(docs: DataFrame, text: str = "text", sample: int = SAMPLE_DOCUMENTS) -> Field:
-    """A field fitted to EXAMPLES and to the spans of fixed patterns in at most `sample`
-    documents with a digit or an @, taken by the hash of their text."""
+def labelled_lines(table: DataFrame, line: str = "line") -> list[str]:
+    """The lines of a small labelled table, spans marked as [kind text]: at most LABELLED_LINES."""
+    rows = pick(table, line=line).where("line is not null").limit(LABELLED_LINES + 1).collect()
+    if len(rows) > LABELLED_LINES:
+        raise ValueError(f"over {LABELLED_LINES} labelled lines")
+    return [r["line"] for r in rows]
+
+
+def fit(
+    docs: DataFrame,
+    text: str = "text",
+    sample: int = SAMPLE_DOCUMENTS,
+    lines: DataFrame | Sequence[str] = EXAMPLES,
+    characters: int = TRAIN_CHARACTERS,
+    words: int = TRAIN_WORDS,
+) -> Field:
+    """A field fitted to labelled lines (texts, or a table with a column `line`) and to the
+    spans of fixed patterns in at most `sample` documents with a digit or an @, taken by the
+    hash of their text. Of a sampled text it reads `characters` at most, and runs of at most
+    `words` words: this bounds training alone, all documents are searched whole.
+    Words around a run count only if the labelled lines have them: beside the spans of patterns
+    any word stands by chance."""
+    lines = labelled_lines(lines) if isinstance(lines, DataFrame) else lines
     rows = pick(docs, text=text).where(F.col("text").rlike("[0-9@]"))
     rows = hash_sample(rows, ["text"], rows.count(), sample)
-    examples = [x for line in EXAMPLES for x in labelled(*_example(line))] * 3
-    for row in rows.select(F.substring("text", 1, 20_000).alias("text")).collect():
+    examples = [x for line in lines for x in labelled(*_example(line))] * 3
+    sampled: list[Example] = []
+    for row in rows.select(F.substring("text", 1, characters).alias("text")).collect():
         for run, labels in labelled(row["text"], base_spans(row["text"])):
-            if len(labels) <= 40:  # bounds the arrays of training
-                examples.append((run, labels))
-    return train(examples)
+            if len(labels) <= words:
+                sampled.append((run, labels))
+    names = names_of(examples) | {f for f in names_of(sampled) if not f.startswith(("cue ", "then "))}
+    return train(examples + sampled, names=names)
 
 
 # --- spans --------------------------------------------------------------------------------
@@ -350,7 +421,8 @@ def _field_spans(text: str, run: Run, labels: list[int]) -> list[Span]:
     """The spans of a labelled run, without punctuation around them, if they can be of their
     kind at all."""
     spans, groups = [], []
-    for label, (start, end) in zip(labels, run.spans, strict=True):
+    starts = [start for start, _ in run.spans[1:]]
+    for label, (start, end), following in zip(labels, run.spans, [*starts, None], strict=True):
         if not label:
             continue
         prefix, kind = LABELS[label].split("-")
@@ -358,8 +430,7 @@ def _field_spans(text: str, run: Run, labels: list[int]) -> list[Span]:
             groups[-1][2] = end
         else:
             groups.append([kind, start, end, None])
-        following = [s for s, _ in run.spans if s >= end]
-        groups[-1][3] = following[0] if following else None
+        groups[-1][3] = following
     for kind, start, end, _ in groups:
         while start < end and text[start] in _EDGE:
             start += 1
@@ -367,9 +438,12 @@ def _field_spans(text: str, run: Run, labels: list[int]) -> list[Span]:
             end -= 1
         found = text[start:end]
         least, most = _LEAST[kind]
-        digits = len(_DIGIT.findall(found))
-        known = {"email": found.count("@") == 1 and "." in found.partition("@")[2], "ip": found.count(".") == 3}
-        if least <= digits <= most and known.get(kind, True):
+        digits = "".join(_DIGIT.findall(found))
+        if kind == "email":
+            fits = found.count("@") == 1 and "." in found.partition("@")[2]
+        else:
+            fits = kind == "phone" or (luhn(digits) if kind == "card" else found.count(".") == 3)
+        if fits and least <= len(digits) <= most:
             spans.append((kind, start, end))
     return spans
 
@@ -379,9 +453,10 @@ def find(texts: list[str], model: Field) -> list[tuple[list[Span], list[Span]]]:
     bases = [base_spans(t) for t in texts]
     runs = [(i, run) for i, t in enumerate(texts) for run in runs_of(t)]
     alls = [list(b) for b in bases]
+    covered = [Covered(b) for b in bases]
     for (i, run), labels in zip(runs, model.decode([r for _, r in runs]), strict=True):
         for span in _field_spans(texts[i], run, labels) if any(labels) else ():
-            if not any(s[1] < span[2] and s[2] > span[1] for s in bases[i]):
+            if not covered[i].first(span[1], span[2]):
                 alls[i].append(span)
     return [(b, _sorted(a)) for b, a in zip(bases, alls, strict=True)]
 

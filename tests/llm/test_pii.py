@@ -2,6 +2,7 @@
 
 import random
 import re
+import time
 
 import numpy as np
 
@@ -55,6 +56,42 @@ def test_long_runs_are_linear():
         pii.find([text], pii.Field())
 
 
+def test_many_number_words_are_linear(spark):
+    model = pii.fit(documents(spark))
+    took = []
+    for n in (8_000, 32_000):
+        text = "call 212-555-0147 or a@b.example.org " * (n // 4)
+        start = time.process_time()
+        found = pii.find([text, " ".join(["212-555-0147"] * n)], model)
+        took.append(time.process_time() - start)
+        assert len(found[0][1]) == n // 2
+    assert took[1] < 10 * took[0]
+
+
+def test_covered_is_the_first_span_that_meets():
+    rng = random.Random(3)
+    for _ in range(2000):
+        spans = [(rng.choice(pii.KINDS), a, a + rng.randint(1, 6)) for a in rng.choices(range(30), k=rng.randint(0, 6))]
+        covered, start = pii.Covered(spans), rng.randrange(34)
+        end = start + rng.randint(1, 5)
+        meets = [s for s in covered.spans if s[1] < end and s[2] > start]
+        assert covered.first(start, end) == (meets[0] if meets else None)
+
+
+def test_words_around_a_run_and_a_labelled_table(spark):
+    run, second = pii.runs_of("Please Call: 555 123 now (or) 7")
+    assert (run.before, run.words, run.after) == ("Call:", ["555", "123"], "now")
+    assert (second.before, second.after) == ("(or)", "")
+    assert "cue call" in run.features()[1] and "then now" in run.features()[0]
+    # Only the word before tells these apart: the field of the caller's own table knows it.
+    lines = [f"{cue} {n} today" for n in ("5550147", "9081726", "4417263") for cue in ("order", "room")]
+    lines += [f"dial [phone 55{n} 01{n}7] today" for n in (12, 37, 88, 45)] + [f"order 55{n} 01{n}7 today" for n in (12, 37, 88, 45)]
+    table = spark.createDataFrame([(x, "k") for x in [*lines, None]], "line string, key string")
+    model = pii.fit(empty(spark), lines=table)
+    (_, dialled), (_, ordered) = pii.find(["dial 5561 01777 today", "order 5561 01777 today"], model)
+    assert dialled == [("phone", 5, 15)] and ordered == []
+
+
 def test_viterbi_is_the_best_path():
     rng = np.random.default_rng(2)
     field = pii.Field({"x": 0}, rng.normal(size=(2, 9)), rng.normal(size=(9, 9)), rng.normal(size=9), rng.normal(size=9))
